@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.views import Views
 
-MODULES = ("match_checks",)
+MODULES = (
+    "match_checks",
+    "state_checks",
+    "recommend_checks",
+    "enrich_checks",
+    "score_checks",
+    "monitor_checks",
+)
 
 
 def _all() -> dict[str, tuple]:
