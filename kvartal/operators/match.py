@@ -79,6 +79,7 @@ def match(
     listings: DataFrame,
     strict_district: bool = False,
     rows_per_split: int = ROWS_PER_SPLIT,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every (user, listing) pair that fits.
 
@@ -90,7 +91,8 @@ def match(
 
     Criteria: user_id, city, deal_type, rent_period, min/max_price_kzt,
     rooms, districts, district_keys, min/max_area_m2, owner_only. Listings:
-    the listing columns and district_key.
+    the listing columns and district_key. ``carry`` names further criteria
+    columns to keep on the pairs.
     """
     asked = criteria.select(
         "user_id",
@@ -106,6 +108,7 @@ def match(
         "min_area_m2",
         "max_area_m2",
         "owner_only",
+        *carry,
     )
     low = F.coalesce(price_band(F.col("min_price_kzt")), F.lit(0))
     high = F.coalesce(

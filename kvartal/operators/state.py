@@ -135,7 +135,7 @@ def feedback_state(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     Save and reject set the state whatever it was, so only what follows the last
     of them matters. After a save, purge acts only when the last delete or
     restore before it was a delete; after a reject the first restore or purge
-    decides. Both are look-ups of an earlier event, no row-by-row replay.
+    decides. Each is a look-up of an earlier event, no row-by-row replay.
 
     Columns: decision (saved or rejected), decided_at, deleted_at (null while
     active). A pair without a row has no decision.
@@ -149,44 +149,28 @@ def feedback_state(events: DataFrame, chunk: Column | None = None) -> DataFrame:
         .agg(F.max(at).alias("base_at"), F.max_by("op", at).alias("base"))
     )
     later = events.where(~F.col("op").isin(*SETS)).join(base, keys, "inner").where(at > F.col("base_at"))
-    deleted = F.col("op") == "delete_saved"
-    mark = F.when(deleted, F.lit(1)).when(F.col("op") == "restore", F.lit(0))
-    seen = carry_last(later, keys, ["ts", "seq"], {"last_mark": mark}, chunk)
-    seen = seen.withColumn("__gone", (F.col("op") == "purge") & (F.col("last_mark") == 1))
-    saved_tail = seen.where(F.col("base") == "save").groupBy(*keys).agg(
-        F.max("__gone").alias("gone"),
-        F.max(F.when(F.col("op") == "purge", F.col("ts"))).alias("purge_ts"),
-        F.max(F.when(F.col("op") == "restore", at)).alias("restored_at"),
-    )
-    # first delete after the last restore dates the move to the trash
-    trashing = (
-        later.where((F.col("base") == "save") & deleted)
-        .join(saved_tail.select(*keys, "restored_at"), keys, "inner")
-        .where(F.col("restored_at").isNull() | (at > F.col("restored_at")))
-        .groupBy(*keys)
-        .agg(F.min("ts").alias("trash_ts"))
-    )
-    rejected_tail = (
-        later.where((F.col("base") == "reject") & F.col("op").isin("restore", "purge"))
-        .groupBy(*keys)
-        .agg(
-            F.min_by("op", at).alias("first_op"),
-            F.max(F.when(F.col("op") == "purge", F.col("ts"))).alias("reject_purge_ts"),
-        )
-    )
-    state = (
-        base.join(saved_tail.drop("restored_at"), keys, "left")
-        .join(trashing, keys, "left")
-        .join(rejected_tail, keys, "left")
+    op = F.col("op")
+    mark = F.when(op == "delete_saved", F.lit(1)).when(op == "restore", F.lit(0))
+    later = carry_last(later, keys, ["ts", "seq"], {"before": mark}, chunk, inclusive=False)
+    in_trash = F.coalesce(F.col("before") == 1, F.lit(False))
+    saved = F.col("base") == "save"
+    tail = later.groupBy(*keys).agg(
+        F.max(saved & (op == "purge") & in_trash).alias("gone"),
+        F.max(F.when(op == "purge", F.col("ts"))).alias("purge_ts"),
+        F.max_by(mark, F.when(mark.isNotNull(), at)).alias("last_mark"),
+        F.max(F.when((op == "delete_saved") & ~in_trash, F.col("ts"))).alias("trash_ts"),
+        F.min_by(op, F.when(op != "delete_saved", at)).alias("first_op"),
     )
+    state = base.join(tail, keys, "left")
     gone = F.coalesce(F.col("gone"), F.lit(False))
-    return state.where(F.coalesce(F.col("first_op") != "restore", F.lit(True))).select(
+    first = F.coalesce(F.col("first_op"), F.lit(""))
+    return state.where(saved | (first != "restore")).select(
         *keys,
-        F.when((F.col("base") == "save") & ~gone, F.lit("saved")).otherwise(F.lit("rejected")).alias("decision"),
+        F.when(saved & ~gone, F.lit("saved")).otherwise(F.lit("rejected")).alias("decision"),
         F.col("base_at.ts").alias("decided_at"),
-        F.when((F.col("base") == "save") & gone, F.col("purge_ts"))
-        .when(F.col("base") == "save", F.col("trash_ts"))
-        .otherwise(F.when(F.col("first_op") == "purge", F.col("reject_purge_ts")))
+        F.when(saved & gone, F.col("purge_ts"))
+        .when(saved, F.when(F.col("last_mark") == 1, F.col("trash_ts")))
+        .otherwise(F.when(first == "purge", F.col("purge_ts")))
         .alias("deleted_at"),
     )
 
