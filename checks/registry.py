@@ -16,6 +16,7 @@ MODULES = (
     "enrich_checks",
     "score_checks",
     "monitor_checks",
+    "intent_checks",
 )
 
 

@@ -186,6 +186,87 @@ class Views:
         )
 
 
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """Nations as cities with made-up names; three shared districts and one own."""
+        key = F.col("n_nationkey")
+        letter = F.substring(F.lit(LETTERS), key + 1, F.lit(1))
+
+        def district(pos: int, canonical, name):
+            return F.struct(
+                F.concat(F.lit("d"), key.cast("string"), F.lit(f"-{pos}")).alias("kato_code"),
+                canonical.alias("canonical"),
+                name.alias("name_ru"),
+                name.alias("name_kk"),
+                F.array(canonical).alias("aliases"),
+            )
+
+        shared = [("A", "Аистовский"), ("N", "Новский"), ("R", "Речной")]
+        districts = F.array(
+            *[district(i, F.lit(c), F.lit(n)) for i, (c, n) in enumerate(shared)],
+            district(
+                3,
+                F.concat(F.lit("U"), key.cast("string")),
+                F.concat(F.lit("Уник"), letter, F.lit("ский")),
+            ),
+        )
+        return self.table("nation").select(
+            key.alias("city_pos"),
+            F.concat(F.lit("k"), key.cast("string")).alias("kato_code"),
+            F.col("n_name").alias("canonical"),
+            F.concat(F.lit("Град"), letter).alias("name_ru"),
+            F.concat(F.lit("Кала"), letter).alias("name_kk"),
+            F.array(
+                F.concat(F.lit("Старый Град"), letter), F.concat(F.lit("Нов–Град"), letter)
+            ).alias("aliases"),
+            F.when(key % 8 != 7, F.lower("n_name")).alias("slug"),
+            districts.alias("districts"),
+        )
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        """A request text per order, and every conversation turn as noise."""
+        o = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+        k = F.col("o_orderkey")
+        rooms = (k % 5 + 1).cast("string")
+        more = (k % 5 + 2).cast("string")
+        letter = F.substring(F.lit(LETTERS), (F.col("o_custkey") % 25 + 1).cast("int"), F.lit(1))
+        n = F.floor(F.col("o_totalprice") / 10000).cast("bigint")
+
+        def num(extra: int = 0):
+            return (n + extra).cast("string")
+
+        texts = [
+            [rooms, "-комнатная в Град", letter, "е до ", num(), " млн"],
+            ["сниму двушку посуточно в Кала", letter, " от ", num(), " до ", num(10), " тыс"],
+            ["от ", num(20), " до ", num(), " млн"],
+            ["район Аистовский, ", rooms, " или ", more, " комнаты"],
+            ["в Уник", letter, "ском районе до ", num(30), " млн от хозяина"],
+            ["ТРЁХкомнатная от ", num(), " м2 до ", num(30), " м2 страниц ", (k % 30).cast("string")],
+            ["покажи ещё список"],
+            ["куплю однушку, Старый Град", letter, " от ", num(), ",5 млн"],
+            ["район Речной в Нов-Град", letter, "у: ", num(), " млн, 2-4 комнаты"],
+            ["только помесячно, речной, nation_", (k % 25).cast("string")],
+        ]
+        text = None
+        for i, parts in enumerate(texts):
+            body = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+            text = F.when(k % 10 == i, body) if text is None else text.when(k % 10 == i, body)
+        asked = o.select(
+            k.alias("msg_id"),
+            F.col("o_custkey").alias("user_id"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
+            text.alias("message"),
+        )
+        noise = self.table("conversations").select(
+            (F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000).alias("msg_id"),
+            F.col("conv_id").alias("user_id"),
+            F.lit(NOW).cast("timestamp").alias("ts"),
+            F.col("text").alias("message"),
+        )
+        return asked.unionByName(noise)
+
+
 _CASE_OP = """CASE event_type WHEN 'purchase' THEN 'save' WHEN 'error' THEN 'reject'
   WHEN 'click' THEN 'delete_saved' WHEN 'signup' THEN 'restore' WHEN 'view' THEN 'purge' END"""
 
@@ -276,6 +357,73 @@ FROM part""",
 }
 
 
+CTES |= {
+    "v_cities": (
+        (),
+        f"""
+SELECT n_nationkey AS city_pos, n_name AS city, 'Град' || c AS name_ru, 'Кала' || c AS name_kk, c,
+  CASE WHEN n_nationkey % 8 <> 7 THEN lower(n_name) END AS slug
+FROM (SELECT *, substr('{LETTERS}', n_nationkey + 1, 1) AS c FROM nation)""",
+    ),
+    "v_city_aliases": (
+        ("v_cities",),
+        """
+SELECT DISTINCT city, city_pos, unnest([lower(city), lower(name_ru), lower(name_kk), 'старый град' || c, 'нов-град' || c]) AS alias
+FROM v_cities""",
+    ),
+    "v_district_aliases": (
+        ("v_cities",),
+        """
+SELECT city, city_pos, 'A' AS district, 0 AS district_pos, unnest(['a', 'аистовский', 'аистов']) AS alias FROM v_cities
+UNION ALL SELECT city, city_pos, 'N', 1, unnest(['n', 'новский']) FROM v_cities
+UNION ALL SELECT city, city_pos, 'R', 2, unnest(['r', 'речной']) FROM v_cities
+UNION ALL SELECT city, city_pos, 'U' || city_pos, 3,
+  unnest(['u' || city_pos, 'уник' || replace(c, 'ё', 'е') || 'ский', 'уник' || c]) FROM v_cities""",
+    ),
+    "v_messages": (
+        (),
+        f"""
+SELECT o_orderkey AS msg_id, o_custkey AS user_id, o_orderdate AS ts, CASE k
+  WHEN 0 THEN r || '-комнатная в Град' || c || 'е до ' || n || ' млн'
+  WHEN 1 THEN 'сниму двушку посуточно в Кала' || c || ' от ' || n || ' до ' || (n + 10) || ' тыс'
+  WHEN 2 THEN 'от ' || (n + 20) || ' до ' || n || ' млн'
+  WHEN 3 THEN 'район Аистовский, ' || r || ' или ' || (r + 1) || ' комнаты'
+  WHEN 4 THEN 'в Уник' || c || 'ском районе до ' || (n + 30) || ' млн от хозяина'
+  WHEN 5 THEN 'ТРЁХкомнатная от ' || n || ' м2 до ' || (n + 30) || ' м2 страниц ' || (o_orderkey % 30)
+  WHEN 6 THEN 'покажи ещё' || chr(160) || 'список'
+  WHEN 7 THEN 'куплю однушку, Старый Град' || c || ' от ' || n || ',5 млн'
+  WHEN 8 THEN 'район Речной в Нов-Град' || c || 'у: ' || n || ' млн, 2-4 комнаты'
+  ELSE 'только помесячно, речной, nation_' || (o_orderkey % 25) END AS message
+FROM (SELECT *, o_orderkey % 10 AS k, o_orderkey % 5 + 1 AS r, substr('{LETTERS}', CAST(o_custkey % 25 + 1 AS INT), 1) AS c,
+  CAST(floor(o_totalprice / 10000) AS BIGINT) AS n FROM orders)
+UNION ALL SELECT conv_id * 1000 + turn + 1000000000, conv_id, TIMESTAMP '{NOW}', text FROM conversations""",
+    ),
+    "v_normal": (
+        ("v_messages",),
+        """
+SELECT msg_id, message, trim(regexp_replace(replace(replace(lower(nfc_normalize(message)), 'ß', 'ss'), 'ё', 'е'),
+  '[^\\p{L}\\p{N}_-]+', ' ', 'g')) AS normal FROM v_messages""",
+    ),
+    "v_city_hits": (
+        ("v_normal", "v_city_aliases"),
+        """
+SELECT msg_id, city, city_pos, alias FROM (SELECT msg_id, ' ' || normal || ' ' AS t FROM v_normal) JOIN v_city_aliases
+  ON list_bool_or(list_transform(['', 'е', 'а', 'у', 'ом', 'ем', 'ы', 'и', 'я', 'ю'],
+    lambda e: contains(t, ' ' || alias || e || ' ')))""",
+    ),
+    "v_words": (
+        ("v_normal",),
+        "SELECT DISTINCT msg_id, unnest(string_split_regex(normal, '[ -]+')) AS word FROM v_normal",
+    ),
+    "v_district_hits": (
+        ("v_words", "v_district_aliases"),
+        """
+SELECT msg_id, city, city_pos, district, district_pos, alias FROM v_words JOIN v_district_aliases
+  ON starts_with(word, alias) AND length(word) - length(alias) <= CASE WHEN length(alias) >= 4 THEN 4 ELSE 0 END""",
+    ),
+}
+
+
 def sql(body: str, *names: str, recursive: bool = False) -> str:
     """``body`` under the CTEs it names and those they need."""
     ordered: list[str] = []

@@ -68,7 +68,8 @@ def site_fit() -> Column:
 
 def price_band(price: Column) -> Column:
     """Index of the geometric price band; rises with the price."""
-    return F.floor(F.log(F.greatest(price.cast("double"), F.lit(1.0))) / math.log(BAND_RATIO)).cast("int")
+    band = F.floor(F.log(F.greatest(price.cast("double"), F.lit(1.0))) / math.log(BAND_RATIO))
+    return F.when(price.isNotNull(), band.cast("int"))
 
 
 TOP_BAND = math.floor(math.log(MAX_PRICE) / math.log(BAND_RATIO))
@@ -110,15 +111,16 @@ def match(
         "owner_only",
         *carry,
     )
-    low = F.coalesce(price_band(F.col("min_price_kzt")), F.lit(0))
-    high = F.coalesce(
-        F.least(price_band(F.col("max_price_kzt")), F.lit(TOP_BAND)), F.lit(TOP_BAND)
-    )
+    low = F.least(F.coalesce(price_band(F.col("min_price_kzt")), F.lit(0)), F.lit(TOP_BAND))
+    high = F.least(F.coalesce(price_band(F.col("max_price_kzt")), F.lit(TOP_BAND)), F.lit(TOP_BAND))
     bands = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     asked = asked.withColumn("__band", F.explode(F.array_append(bands, F.lit(-1))))
     offered = listings.withColumn(
         "__band",
-        F.coalesce(F.least(price_band(F.col("price_kzt")), F.lit(TOP_BAND)), F.lit(-1)),
+        F.when(
+            F.col("price_kzt").isNotNull(),
+            F.least(price_band(F.col("price_kzt")), F.lit(TOP_BAND)),
+        ).otherwise(F.lit(-1)),
     )
     found = district_match(
         F.col("district_key"), F.col("want_districts"), F.col("want_district_keys")
