@@ -243,7 +243,7 @@ pick AS (SELECT s.*, coalesce(exp_city, named_city) AS said_city,
       WHEN named_city IS NOT NULL THEN (SELECT ds FROM msgd x WHERE x.msg_id = s.msg_id AND x.city = named_city) END AS said_ds,
     CASE WHEN exp_city IS NULL AND named_city IS NOT NULL AND NOT EXISTS (SELECT 1 FROM msgd x WHERE x.msg_id = s.msg_id AND x.city = named_city)
       THEN (SELECT arg_min(ds[1], city_pos) FROM msgd x WHERE x.msg_id = s.msg_id) END AS wrong,
-    (SELECT ds FROM msgd x WHERE x.msg_id = s.msg_id AND x.city = old_city) AS old_found, cnt.cities, cnt.one_city, cnt.one
+    (SELECT ds FROM msgd x WHERE x.msg_id = s.msg_id AND x.city = old_city) AS old_found, coalesce(cnt.cities, 0) AS cities, cnt.one_city, cnt.one
   FROM said s LEFT JOIN cnt ON cnt.msg_id = s.msg_id),
 fin AS (SELECT *, CASE WHEN said_city IS NOT NULL THEN said_city WHEN old_city IS NOT NULL THEN old_city
     WHEN cities = 1 THEN one_city ELSE 'NATION_0' END AS city,
@@ -445,12 +445,23 @@ SELECT 'duplicate slug', 'same' UNION ALL SELECT 'shared city alias', 'общи
         sql("SELECT city, 'Аистовский, Новский, Речной, Уник' || c || 'ский' AS names FROM v_cities", "v_cities"),
     ),
 }
+_FRESH = L5_SQL.replace(
+    "CASE WHEN msg_id % 2 = 0 THEN 'NATION_' || (user_id % 25) END AS old_city", "CAST(NULL AS VARCHAR) AS old_city"
+).replace("CASE WHEN msg_id % 4 = 0 THEN ['N'] END AS old_districts", "CAST(NULL AS VARCHAR[]) AS old_districts")
+CHECKS["P41_search_signal"] = (
+    p41,
+    sql(
+        f"""WITH loc AS ({_FRESH}), r AS ({ROOMS_SQL}), p AS ({PRICE_SQL}), a AS ({AREA_SQL})
+SELECT msg_id, rooms IS NOT NULL OR min_price_kzt IS NOT NULL OR max_price_kzt IS NOT NULL OR min_area_m2 IS NOT NULL
+  OR max_area_m2 IS NOT NULL OR districts IS NOT NULL OR NOT defaulted_city AS signal
+FROM loc JOIN r USING (msg_id) JOIN p USING (msg_id) JOIN a USING (msg_id) WHERE error IS NULL""",
+        "v_messages", "v_city_aliases", "v_district_aliases", "v_cities",
+    ),
+)
 CHECKS["P43_location_decision"] = (
     lambda v: _located(v, False).select("msg_id", "city", "defaulted_city", "error"),
     sql(
-        L5_SQL.replace("CASE WHEN msg_id % 2 = 0 THEN 'NATION_' || (user_id % 25) END AS old_city", "CAST(NULL AS VARCHAR) AS old_city")
-        .replace("CASE WHEN msg_id % 4 = 0 THEN ['N'] END AS old_districts", "CAST(NULL AS VARCHAR[]) AS old_districts")
-        .replace("""CASE WHEN error IS NULL THEN array_to_string(CASE WHEN old_city IS NOT NULL AND (NOT supplied OR (city = old_city AND ds IS NULL AND NOT spoken))
+        _FRESH.replace("""CASE WHEN error IS NULL THEN array_to_string(CASE WHEN old_city IS NOT NULL AND (NOT supplied OR (city = old_city AND ds IS NULL AND NOT spoken))
     THEN old_districts ELSE ds END, ',') END AS districts,""", ""),
         "v_messages", "v_city_aliases", "v_district_aliases", "v_cities",
     ),

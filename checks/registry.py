@@ -17,6 +17,7 @@ MODULES = (
     "score_checks",
     "monitor_checks",
     "intent_checks",
+    "extract_checks",
 )
 
 
