@@ -65,7 +65,7 @@ def listing_pages(v):
         F.array_join(F.transform("cs", lambda c: c["card"]), "\n"),
         F.lit("<a href='/help'>help</a></section><footer>reCAPTCHA</footer></body></html>"),
     )
-    return grouped.select(
+    return _spread(v, grouped).select(
         F.concat(F.lit(BASE + "/list?page="), F.col("l_orderkey").cast("string")).alias("url"),
         F.col("l_orderkey").alias("page_no"), html.alias("html"), F.lit(200).alias("status"),
     )
@@ -121,11 +121,18 @@ def _details_html():
     )
 
 
+def _spread(v, rows):
+    """Made-up pages come from few rows; give every core a share, as files would."""
+    return rows.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def detail_pages(v):
     first = _lines(v).groupBy("id").agg(
         F.min_by(F.struct("l_orderkey", "l_partkey", "l_suppkey", "price"), F.col("at")).alias("r")
     ).select("id", "r.*")
-    return first.select(F.col("id").cast("string").alias("external_id"), _details_html().alias("html"))
+    return _spread(v, first).select(
+        F.col("id").cast("string").alias("external_id"), _details_html().alias("html")
+    )
 
 
 def _previews(v):
@@ -187,7 +194,8 @@ def p13(v):
 
 def p15(v):
     pages = detail_pages(v)
-    params = tx.first_by(h.detail_texts("html")["params"], "label")
+    pages = pages.select("external_id", h.detail_texts("html").alias("d"))
+    params = tx.first_by(F.col("d.params"), "label")
     shown = F.array_join(F.transform(params, lambda e: F.concat(e["label"], F.lit("="), e["value"])), "; ")
     return pages.select("external_id", shown.alias("params"))
 

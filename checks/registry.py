@@ -18,6 +18,8 @@ MODULES = (
     "monitor_checks",
     "intent_checks",
     "extract_checks",
+    "quality_checks",
+    "stream_checks",
 )
 
 

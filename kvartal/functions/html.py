@@ -26,6 +26,7 @@ CARD_CLASSES = ("a-card", "offer")
 SUBTITLE = "a-card__subtitle"
 CLIMB = 6
 OBJECT_SPAN = 8000
+DOTTED = re.compile(r"\d{2}\.\d{2}\.\d{4}")
 
 _TEXT = T.StringType()
 CARD = T.StructType(
@@ -77,19 +78,27 @@ class Node:
 
 
 class _Reader(HTMLParser):
+    """Builds the tree and lists its nodes in document order."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None)
         self.here = self.root
+        self.nodes: list[Node] = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _add(self, tag: str, attrs: list) -> Node:
         node = Node(tag, dict(reversed(attrs)), self.here)
         self.here.children.append(node)
+        self.nodes.append(node)
+        return node
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        node = self._add(tag, attrs)
         if tag not in VOID:
             self.here = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.here.children.append(Node(tag, dict(reversed(attrs)), self.here))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         node = self.here
@@ -102,27 +111,41 @@ class _Reader(HTMLParser):
         self.here.children.append(data)
 
 
-def read(html: str) -> Node:
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    return reader.root
+class Index:
+    """Nodes of a page or card by class, tag and test attribute, in order."""
 
+    def __init__(self, nodes: Iterator[Node] | list[Node]) -> None:
+        self.by_class: dict[str, list[Node]] = {}
+        self.by_tag: dict[str, list[Node]] = {}
+        self.by_test: dict[str, list[Node]] = {}
+        for node in nodes:
+            self.by_tag.setdefault(node.tag, []).append(node)
+            for name in dict.fromkeys(node.classes):
+                self.by_class.setdefault(name, []).append(node)
+            test = node.attrs.get("data-test")
+            if test:
+                self.by_test.setdefault(test, []).append(node)
 
-def _first(node: Node, *, tag: str | None = None, cls: str | None = None, attr: tuple | None = None) -> Node | None:
-    for item in node.walk():
-        if tag is not None and item.tag != tag:
-            continue
-        if cls is not None and cls not in item.classes:
-            continue
-        if attr is not None and (attr[0] not in item.attrs or attr[1] not in (None, item.attrs[attr[0]])):
-            continue
-        return item
-    return None
+    def class_text(self, name: str) -> str | None:
+        return _first_text(self.by_class.get(name))
 
+    def tag_text(self, name: str) -> str | None:
+        return _first_text(self.by_tag.get(name))
 
-def _text(node: Node | None) -> str | None:
-    return None if node is None else node.text()
+    def test_text(self, name: str) -> str | None:
+        return _first_text(self.by_test.get(name))
+
+
+def _first_text(nodes: list[Node] | None) -> str | None:
+    return nodes[0].text() if nodes else None
+
+
+def read(html: str) -> tuple[Node, list[Node]]:
+    """Root and all nodes in document order."""
+    reader = _Reader()
+    reader.feed(html)
+    reader.close()
+    return reader.root, reader.nodes
 
 
 def _card_of(link: Node) -> Node:
@@ -146,28 +169,25 @@ def cards(html: str | None) -> list[dict]:
     if html is None or LINK_PART not in html:
         return []
     out = []
-    for link in read(html).walk():
+    for link in read(html)[1]:
         href = link.attrs.get("href")
         if link.tag != "a" or not href or LINK_PART not in href:
             continue
-        card = _card_of(link)
-        price = (
-            _text(_first(card, cls="a-card__price"))
-            or _text(_first(card, cls="offer__price"))
-            or _text(_first(card, attr=("data-test", "price")))
-        )
-        title = (
-            _text(_first(card, cls="a-card__title"))
-            or _text(_first(card, tag="h2"))
-            or _text(_first(card, tag="h3"))
-            or link.text()
-        )
-        details = _text(_first(card, cls="a-card__text-preview")) or _text(
-            _first(card, cls="offer__parameters")
-        )
-        subtitle = _text(_first(card, cls=SUBTITLE))
+        card = Index(_card_of(link).walk())
         out.append(
-            {"href": href, "title": title, "price_text": price, "subtitle": subtitle, "details": details}
+            {
+                "href": href,
+                "title": card.class_text("a-card__title")
+                or card.tag_text("h2")
+                or card.tag_text("h3")
+                or link.text(),
+                "price_text": card.class_text("a-card__price")
+                or card.class_text("offer__price")
+                or card.test_text("price"),
+                "subtitle": card.class_text(SUBTITLE),
+                "details": card.class_text("a-card__text-preview")
+                or card.class_text("offer__parameters"),
+            }
         )
     return out
 
@@ -191,56 +211,64 @@ def _embedded(html: str, key: str, marker: str) -> str | None:
     return None
 
 
-def _params(root: Node) -> list[dict]:
+def _params(page: Index) -> list[dict]:
     """Label and value pairs: definition lists first, then info rows."""
     out = []
-    for node in root.walk():
-        if node.tag == "dl":
-            terms = [n for n in node.walk() if n.tag == "dt"]
-            values = [n for n in node.walk() if n.tag == "dd"]
-            out += zip(terms, values, strict=False)
-    for node in root.walk():
-        if "offer__info-title" in node.classes and node.parent is not None:
-            value = _first(node.parent, cls="offer__advert-short-info")
-            if value is not None:
-                out.append((node, value))
-    pairs = [{"label": (_text(a) or "").lower(), "value": _text(b) or ""} for a, b in out]
+    for block in page.by_tag.get("dl", []):
+        items = list(block.walk())
+        terms = [n for n in items if n.tag == "dt"]
+        values = [n for n in items if n.tag == "dd"]
+        out += zip(terms, values, strict=False)
+    for label in page.by_class.get("offer__info-title", []):
+        if label.parent is not None:
+            row = Index(label.parent.walk()).by_class.get("offer__advert-short-info")
+            if row:
+                out.append((label, row[0]))
+    pairs = [{"label": (a.text() or "").lower(), "value": b.text() or ""} for a, b in out]
     return [p for p in pairs if p["label"] and p["value"]]
 
 
+def _about(page: Index) -> Node | None:
+    """The free description, not the parameter block."""
+    found = page.by_class.get("js-description")
+    if found:
+        return found[0]
+    for box in page.by_class.get("offer__description", []):
+        inner = Index(box.walk()).by_class.get("text")
+        if inner:
+            return inner[0]
+    return None
+
+
+def _stamp(nodes: list[Node]) -> str | None:
+    return next((n.attrs["datetime"] for n in nodes if "datetime" in n.attrs), None)
+
+
 def detail(html: str | None) -> dict | None:
     if html is None:
         return None
-    root = read(html)
-    heads = [n for n in root.walk() if n.tag == "h1"]
-    offer_head = next((n for n in heads if "offer__title" in n.classes), None)
-    about = _first(root, cls="js-description")
-    if about is None:
-        about = next(
-            (t for box in root.walk() if "offer__description" in box.classes for t in box.walk() if "text" in t.classes),
-            None,
-        )
-    stamp = _first(root, tag="time", attr=("datetime", None))
-    test = next(
-        (n for n in root.walk() if n.attrs.get("data-test") == "published-at" and "datetime" in n.attrs), None
-    )
+    root, nodes = read(html)
+    page = Index(nodes)
+    heads = page.by_tag.get("h1", [])
+    offer_heads = [n for n in heads if "offer__title" in n.classes]
+    about = _about(page)
+    # the whole text is only ever searched for a dotted date
+    dated = DOTTED.search(html) or "&#" in html
     return {
-        "title": _text(offer_head) or _text(heads[0] if heads else None),
-        "price_text": _text(_first(root, cls="offer__price"))
-        or _text(_first(root, attr=("data-test", "offer-price"))),
-        "address": _text(_first(root, cls="offer__address"))
-        or _text(_first(root, attr=("data-test", "address"))),
-        "page_title": _text(_first(root, tag="title")),
-        "detail_text": _text(_first(root, cls="offer__parameters"))
-        or _text(_first(root, cls="offer__info"))
+        "title": _first_text(offer_heads) or _first_text(heads),
+        "price_text": page.class_text("offer__price") or page.test_text("offer-price"),
+        "address": page.class_text("offer__address") or page.test_text("address"),
+        "page_title": page.tag_text("title"),
+        "detail_text": page.class_text("offer__parameters")
+        or page.class_text("offer__info")
         or root.text(),
-        "full_text": root.text(),
+        "full_text": root.text() if dated else None,
         "description": None if about is None else about.text("\n"),
-        "time_attr": None if stamp is None else stamp.attrs.get("datetime"),
-        "test_attr": None if test is None else test.attrs.get("datetime"),
+        "time_attr": _stamp(page.by_tag.get("time", [])),
+        "test_attr": _stamp(page.by_test.get("published-at", [])),
         "owner_json": _embedded(html, "owner", "isOwner"),
         "agency_json": _embedded(html, "agency", "name"),
-        "params": _params(root),
+        "params": _params(page),
     }
 
 

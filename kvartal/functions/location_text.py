@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvartal.functions import text as tx
 
@@ -17,7 +18,7 @@ MIN_STEM = 4
 WORD = r"\p{L}\p{N}_"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark has no function for."""
     return texts.str.normalize("NFKC").str.translate(DASHES).str.casefold()
