@@ -17,6 +17,7 @@ MODULES = (
     "score_checks",
     "monitor_checks",
     "intent_checks",
+    "history_checks",
     "extract_checks",
     "quality_checks",
     "stream_checks",

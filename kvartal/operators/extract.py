@@ -95,6 +95,12 @@ def detail_fields(pages: DataFrame) -> DataFrame:
     )
 
 
+def details_of(previews_: DataFrame, pages: DataFrame) -> DataFrame:
+    """Detail fields of the previews' pages only: other pages are not parsed."""
+    wanted = previews_.select("external_id").distinct()
+    return detail_fields(pages.join(wanted, "external_id", "left_semi"))
+
+
 def merge_detail(previews_: DataFrame, details: DataFrame, source: str, scraped_at: Column) -> DataFrame:
     """Listings of previews and their detail pages.
 
