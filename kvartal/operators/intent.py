@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.functions import text as tx
+from kvartal.functions.once import compute_once
 
 DEFAULT_DEAL = "sale"
 DEFAULT_PAGES = 3
@@ -102,13 +103,14 @@ def with_price_bounds(rows: DataFrame, text: str) -> DataFrame:
     first bound of a range may lack a unit and takes that of the second. Each
     step is a column of its own, so a pattern runs once per text.
     """
-    rows = rows.withColumns(
+    rows = compute_once(
+        rows,
         {
             "__range": tx.first_match(text, PRICE_RANGE, 0),
             "__min": tx.first_match(text, PRICE_MIN, 0),
             "__max": tx.first_match(text, PRICE_MAX, 0),
             "__values": tx.all_matches(text, PRICE_VALUE, 0),
-        }
+        },
     )
 
     def part(column: str, pattern: str, group: int) -> Column:
@@ -118,7 +120,8 @@ def with_price_bounds(rows: DataFrame, text: str) -> DataFrame:
         return _tenge(tx.first_match(matched, pattern, 1), tx.first_match(matched, pattern, 2))
 
     last_unit = part("__range", PRICE_RANGE, 4)
-    rows = rows.withColumns(
+    rows = compute_once(
+        rows,
         {
             "__low": _tenge(
                 part("__range", PRICE_RANGE, 1), F.coalesce(part("__range", PRICE_RANGE, 2), last_unit)
@@ -132,19 +135,20 @@ def with_price_bounds(rows: DataFrame, text: str) -> DataFrame:
                     amount(F.get("__values", F.lit(0)), PRICE_VALUE),
                 ),
             ),
-        }
+        },
     )
     return _settle(rows, "min_price_kzt", "max_price_kzt")
 
 
 def with_area_bounds(rows: DataFrame, text: str) -> DataFrame:
-    rows = rows.withColumns(
+    rows = compute_once(
+        rows,
         {
             "__low": tx.decimal_text(tx.first_match(text, AREA_RANGE, 1)),
             "__high": tx.decimal_text(tx.first_match(text, AREA_RANGE, 2)),
             "__floor": tx.decimal_text(tx.first_match(text, AREA_MIN, 1)),
             "__cap": tx.decimal_text(tx.first_match(text, AREA_MAX, 1)),
-        }
+        },
     )
     return _settle(rows, "min_area_m2", "max_area_m2")
 
@@ -220,17 +224,18 @@ FOUND = (
 
 def parse_text(messages: DataFrame, message: str = "message") -> DataFrame:
     """What each message names; a field it does not name is null."""
-    rows = messages.withColumn("__t", request_text(message))
+    rows = compute_once(messages, {"__t": request_text(message)})
     rows = with_area_bounds(with_price_bounds(rows, "__t"), "__t")
     t = F.col("__t")
-    return rows.withColumns(
+    return compute_once(
+        rows,
         {
             "deal_type": deal_type(t),
             "rent_period": rent_period(t),
             "rooms": rooms(t),
             "page_limit": page_limit(t),
             "owner_only": owner_only(t),
-        }
+        },
     ).drop("__t")
 
 
@@ -248,13 +253,14 @@ def parse_patches(patches: DataFrame, column: str = "patch") -> DataFrame:
     whole (``patch_ok`` false, all fields null), and so is one without values.
     Bounds given the wrong way round are swapped.
     """
-    rows = patches.withColumn("__v", F.try_parse_json(column))
+    rows = compute_once(patches, {"__v": F.try_parse_json(column)})
     v = F.col("__v")
     names = ("city", "deal_type", "rent_period", "min_price_kzt", "max_price_kzt", "rooms", "districts",
              "min_area_m2", "max_area_m2", "owner_only", "page_limit")
-    rows = rows.withColumns(
+    rows = compute_once(
+        rows,
         {f"__k_{n}": F.coalesce(_kind(v, n), F.lit("VOID")) for n in names}
-        | {f"__r_{n}": F.try_variant_get(v, f"$.{n}", "string") for n in names}
+        | {f"__r_{n}": F.try_variant_get(v, f"$.{n}", "string") for n in names},
     )
 
     def raw(field: str) -> Column:
@@ -355,16 +361,19 @@ def parse_patches(patches: DataFrame, column: str = "patch") -> DataFrame:
         "owner_only": owner,
         "page_limit": pages,
     }
+    rows = compute_once(
+        rows,
+        {f"patch_{name}": value for name, value in fields.items()}
+        | {"__valid": v.isNotNull() & ~F.coalesce(invalid, F.lit(True))},
+    )
     some = F.lit(False)
-    for value in fields.values():
-        some = some | value.isNotNull()
-    ok = v.isNotNull() & ~F.coalesce(invalid, F.lit(True)) & some
-    body = F.when(ok, F.struct(*[value.alias(name) for name, value in fields.items()]))
-    rows = rows.withColumn("__p", body)
+    for name in fields:
+        some = some | F.col(f"patch_{name}").isNotNull()
+    rows = compute_once(rows, {"patch_ok": F.col("__valid") & some})
     return rows.select(
         *patches.columns,
-        F.col("__p").isNotNull().alias("patch_ok"),
-        *[F.col(f"__p.{name}").alias(f"patch_{name}") for name in fields],
+        "patch_ok",
+        *[F.when(F.col("patch_ok"), F.col(f"patch_{name}")).alias(f"patch_{name}") for name in fields],
     )
 
 
@@ -382,7 +391,7 @@ def combine(messages: DataFrame) -> DataFrame:
         if name in ("owner_only", "rent_period"):
             from_patch = F.coalesce(from_patch, from_text)
         fields[name] = F.when(patched, from_patch).otherwise(from_text)
-    return texts.withColumns({**fields, "from_patch": patched})
+    return compute_once(texts, {**fields, "from_patch": patched})
 
 
 def new_criteria(found: DataFrame) -> DataFrame:
@@ -393,14 +402,15 @@ def new_criteria(found: DataFrame) -> DataFrame:
     """
     implied = F.col("rent_period").isNotNull() & (~F.col("from_patch") | F.col("deal_type").isNull())
     deal = F.when(implied, F.lit("rent")).otherwise(F.coalesce("deal_type", F.lit(DEFAULT_DEAL)))
-    return found.withColumns(
+    return compute_once(
+        found,
         {
             "deal_type": deal,
             "rent_period": F.when(deal == "rent", F.col("rent_period")),
             "owner_only": F.coalesce("owner_only", F.lit(False)),
             "page_limit": F.coalesce("page_limit", F.lit(DEFAULT_PAGES)),
             "property_type": F.lit("apartment"),
-        }
+        },
     )
 
 
