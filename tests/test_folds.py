@@ -106,7 +106,7 @@ def test_salted_join_equals_plain_join(spark):
     )
 
 
-def test_criteria_history(spark, catalog):
+def test_criteria_history(spark, catalog, tmp_path):
     steps = [
         ("refine", "до 40 млн"),
         ("search", "двушка в Астане, Есильский район до 30 млн"),
@@ -128,7 +128,7 @@ def test_criteria_history(spark, catalog):
         for i, (kind, text) in enumerate(steps)
     ]
     schema = "msg_id long, user_id long, ts timestamp, seq long, kind string, message string, patch string, edit_deal string, edit_period string, edit_district string"
-    out = rq.criteria_history(spark.createDataFrame(rows, schema), catalog, "Almaty").orderBy("seq").collect()
+    out = rq.criteria_history(spark.createDataFrame(rows, schema), catalog, "Almaty", str(tmp_path)).orderBy("seq").collect()
     assert [r.status for r in out[:8]] == ["no active criteria", "ok", "invalid range", "ok", "unchanged", "ok", "ok", "ok"]
     assert (out[2].min_price_kzt, out[2].max_price_kzt) == (None, 30_000_000)
     assert (out[3].min_price_kzt, out[3].max_price_kzt, out[3].city, out[3].districts) == (10_000_000, 30_000_000, "Astana", ["Есильский"])
