@@ -18,6 +18,18 @@ HEADLINE = (
     "F1_preview_filter",
     "W3_clone_collapse",
     "A1_batch_price_stats",
+    "S7_listing_upsert",
+    "E_feedback_fold",
+    "L10_hide_decided",
+    "W9_recommendations",
+    "P26_mortgage",
+    "L14_nearby_places",
+    "L18_attach_scores",
+    "W12_due_list",
+    "K8_limiter",
+    "L2_city_in_text",
+    "P34_price_bounds",
+    "S12_export_properties",
 )
 
 
