@@ -90,3 +90,27 @@ def test_hits_equal_a_scan_of_every_pattern(spark, catalog):
         if rx(a.alias, r"\w{0,4}" if len(a.alias.replace(" ", "")) >= 4 else "").search(t)
     }
     assert got == want and got_d == want_d
+
+
+def test_fuzzy_city_equals_every_ratio(spark, catalog):
+    """The bounded search gives what scoring every city in full gives."""
+    import difflib
+
+    from kvartal.sources import catalog as cat
+
+    names = {}
+    rows = cat.cities(catalog).select("canonical", F.explode(cat.all_names()).alias("n")).select("canonical", lt.normal("n").alias("n"))
+    for r in rows.collect():
+        names.setdefault(r.canonical, set()).add(r.n)
+
+    def full(token):
+        if len(token.replace(" ", "")) < 4:
+            return None
+        best = {c: max(difflib.SequenceMatcher(None, token, n).ratio() for n in ns) for c, ns in names.items()}
+        first, second = sorted(best.values(), reverse=True)[:2]
+        return max(best, key=best.get) if first >= 0.82 and first - second >= 0.06 else None
+
+    tokens = ["алмаатa", "алматта", "астанаа", "астна", "шымкет", "шмкент", "нурсултан", "шу", "шуш", "париж", "алмастана", "almati"]
+    got = {r.token: r.city for r in lo.fuzzy_city(spark.createDataFrame([(t,) for t in tokens], "token string"), catalog).collect()}
+    assert got == {t: full(t) for t in tokens}
+    assert sum(c is not None for c in got.values()) >= 5
