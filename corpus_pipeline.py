@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvartal.llm import quality_rules
+from kvartal.llm import packing, quality_rules
 from kvartal.llm.shared import written
 
 
@@ -18,7 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs)
 
 
-STAGES = [("quality rules", quality)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of binary lengths with their ids."""
+    return packing.pieces(docs)
+
+
+STAGES = [("quality rules", quality), ("packing", packed)]
 
 #: Trained scores, near-duplicate classes and token ids have no SQL form.
 ORACLE_SQL = None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvartal.llm import quality_rules, sharding
+from kvartal.llm import packing, quality_rules, sharding, token_files, word_bpe
+from kvartal.llm.shared import folder
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(_documents(spark, sf_dir)).select("*", F.crc32("ids").alias("ids_crc32")).drop("ids")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "token-files")
+    token_files.write(_documents(spark, sf_dir), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.decode(word_bpe.encode(_documents(spark, sf_dir))).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
+    "op7_token_files": op7_token_files,
+    "op8_word_bpe": op8_word_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

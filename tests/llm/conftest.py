@@ -27,9 +27,9 @@ def frame(spark, texts, ids=None, parts=4):
 def stored(spark, tmp_path_factory):
     """Writes texts as a stored documents table and reads it back."""
 
-    def make(texts, ids=None, **extra):
+    def make(texts, doc_ids=None, **extra):
         path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
-        df = frame(spark, texts, ids)
+        df = frame(spark, texts, doc_ids)
         for name, value in extra.items():
             df = df.withColumn(name, value)
         df.write.parquet(path)
