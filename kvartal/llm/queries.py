@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvartal.llm import packing, quality_rules, sharding, token_files, word_bpe
+from kvartal.llm import near_duplicates, packing, quality_rules, sharding, token_files, word_bpe
 from kvartal.llm.shared import folder
 
 
@@ -26,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_documents(spark, sf_dir)).select("*", F.crc32("ids").alias("ids_crc32")).drop("ids")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classify(_documents(spark, sf_dir)).drop("row")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), path)
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_token_files": op7_token_files,
     "op8_word_bpe": op8_word_bpe,
 }
