@@ -108,6 +108,8 @@ def windows(values: np.ndarray, n: int, base: int) -> np.ndarray:
 
 def least_in_windows(values: np.ndarray, n: int) -> np.ndarray:
     """Minimum of each n consecutive values, by doubling."""
+    if len(values) < n:
+        return values[:0]
     have = 1
     while 2 * have <= n:
         values, have = np.minimum(values[:-have], values[have:]), 2 * have

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvartal.llm import near_duplicates, packing, quality_rules, sharding, token_files, word_bpe
+from kvartal.llm import (
+    near_duplicates,
+    packing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_files,
+    word_bpe,
+)
 from kvartal.llm.shared import folder
 
 
@@ -30,6 +39,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classify(_documents(spark, sf_dir)).drop("row")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), path)
@@ -42,13 +57,21 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_token_files": op7_token_files,
     "op8_word_bpe": op8_word_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
