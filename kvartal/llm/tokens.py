@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 #: Unicode white space, as the tokenizers' \s.
@@ -18,9 +19,11 @@ SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Units of vocabularies that drop white space.
 BARE = re.compile("[^ \\t\\n\\r]+")
 #: Units kept per worker; longer ones are encoded each time.
-KEPT_UNITS, LONGEST_UNIT = 200_000, 48
-#: Characters of text whose units are in memory at once.
-SLICE = 500_000
+KEPT_UNITS, LONGEST_UNIT = 400_000, 48
+#: A run of these at a unit's end, after a letter, is encoded apart from it.
+MARKS = ".,!?;:*$%&#|)"
+#: Letters below this code point are composed already and lower-cased one by one.
+LATIN_END = "\u0250"
 
 
 def default_path(name: str) -> str:
@@ -39,50 +42,67 @@ def _tokenizer(path: str):
     return found
 
 
+def _byte_letters() -> list[str]:
+    """Letters that byte-level vocabularies write for bytes: printable ones stand for themselves."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class _Known(dict):
+    """Ids of units, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.make(unit)
+        if len(unit) <= LONGEST_UNIT:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as bytes (little-endian, 32 bits each)."""
 
-    def __init__(self, units: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]]) -> None:
-        self.units, self.encode = units, encode
-        self.known: dict[str, bytes] = {}
-
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(t) for t in texts]
-        known = self.known
-        new = [u for u in {u for units in cut for u in units} if u not in known]
-        if len(known) + len(new) > KEPT_UNITS:
-            known.clear()
-            new = list({u for units in cut for u in units})
-        known.update(zip(new, self.encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, units)) for units in cut]
-        for unit in new:
-            if len(unit) > LONGEST_UNIT:
-                del known[unit]
-        return out
+    def __init__(self, path: str, spaced: bool) -> None:
+        self.units = (SPACED if spaced else BARE).findall
+        self.tokenizer, self.lower = _tokenizer(path), not spaced
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
+        self.known, self.parts = _Known(self._unit), _Known(self._part)
+
+    def _unit(self, unit: str) -> bytes:
+        """By parts: a word, and the marks after it."""
+        stem = unit.rstrip(MARKS)
+        if not stem or stem is unit or not stem[-1].isalpha():
+            return self.parts[self._folded(unit)]
+        return self.parts[self._folded(stem)] + self.parts[unit[len(stem) :]]
+
+    def _folded(self, part: str) -> str:
+        return part.lower() if self.lower and part.isascii() else part
+
+    def _part(self, part: str) -> bytes:
+        """A Latin word is one piece for the model, its cut and case being sure; else all steps run."""
+        word = part[1:] if part[0] == " " else part
+        if word.isascii() and word.isalpha() and not (self.lower and not word.islower()):
+            return array("I", [t.id for t in self.model.tokenize(self.letters[32] + word if word is not part else word)]).tobytes()
+        if word.isalpha() and max(word) < LATIN_END and not (self.lower and "\u0130" in word):
+            seen = (part.lower() if self.lower else part).encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids).tobytes()
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
-        some: list[str] = []
-        n = 0
+        units, known = self.units, self.known.__getitem__
         for text in texts:
-            some.append(text or "")
-            n += len(some[-1])
-            if n >= SLICE:
-                yield from self._cut(some)
-                some, n = [], 0
-        yield from self._cut(some)
+            yield b"".join(map(known, units(text or "")))
+            for held in (self.known, self.parts):
+                if len(held) > KEPT_UNITS:
+                    held.clear()
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One per worker, so its memory serves all tasks there."""
-    import numpy as np
-
-    tokenizer = _tokenizer(path)
-
-    def encode(units: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(units), 20_000):
-            for e in tokenizer.encode_batch_fast(units[k : k + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, dtype="<u4").tobytes()
-
-    return Encoder((SPACED if spaced else BARE).findall, encode)
+    """One per worker, so its memory serves all tasks there. ``spaced``: the vocabulary keeps white space."""
+    return Encoder(path, spaced)
