@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvartal.llm import (
+    kmeans_tree,
     near_duplicates,
     packing,
+    quality_classifier,
     quality_rules,
     sharding,
     substring_dedup,
@@ -45,6 +47,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    forest = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    return quality_classifier.score(docs, forest).select(
+        "doc_id",
+        quality_classifier.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), path)
@@ -57,6 +70,10 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
@@ -69,8 +86,10 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_files": op7_token_files,
     "op8_word_bpe": op8_word_bpe,
+    "op9_kmeans_tree": op9_kmeans_tree,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kvartal.llm import packing, simple8b, token_files, tokens, word_bpe
 from tests.llm.conftest import mixed_texts
 
-ODD = [" <|endoftext|> a", "a  \n  b", "x   y", "  z", "it's we'll  I'D", "é İ ΣΣ", "\t\ttab", "1 22 333"]
+ODD = [" <|endoftext|> a", "a  \n  b", "x   y", "  z", "it's we'll  I'D", "é İ ΣΣ", "\t\ttab", "1 22 333", "lines.\nof words\nthat end\n", "\nfirst a", " lead a\nb ", "a\xa0b c\x85d e", "it's\n'tis we'll\nx"]
 
 
 def plain(name):
