@@ -9,23 +9,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvartal.llm import packing, quality_rules
+from kvartal.llm import near_duplicates, packing, quality_classifier, quality_rules, substring_dedup
 from kvartal.llm.shared import written
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that too many documents repeat go, and documents that fail the rules."""
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that too many documents of a host repeat go, and documents that fail the rules."""
     return quality_rules.apply(docs)
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that trees fitted on the labelled ones take for bad."""
+    return quality_classifier.apply(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_duplicates.apply(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur elsewhere go from the texts."""
+    return substring_dedup.apply(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of binary lengths with their ids."""
     return packing.pieces(docs)
 
 
-STAGES = [("quality rules", quality), ("packing", packed)]
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("near-duplicates", one_of_each),
+    ("substring dedup", passages),
+    ("packing", packed),
+]
 
-#: Trained scores, near-duplicate classes and token ids have no SQL form.
+#: Trained scores, components and token ids have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -13,6 +14,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+@functools.lru_cache(maxsize=1)
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="run-llm-")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, which all executors share.
 
@@ -22,8 +28,7 @@ def folder(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="run-llm-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _local()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
