@@ -45,7 +45,7 @@ def _card_html():
     ).otherwise(F.lit("Студия"))
     spaced = F.replace(F.call_function("format_number", F.col("price"), F.lit(0)), F.lit(","), F.lit(NBSP))
     price = F.when(F.col("l_partkey") % 8 != 0, _join('<div class="a-card__price"> ', spaced, " ₸</div>")).otherwise(F.lit(""))
-    floor = F.when(F.col("l_partkey") % 11 != 0, _join(", потолки 2.7м, дом 535/2, этаж ", F.col("l_partkey") % 9 + 1, "/9")).otherwise(F.lit(""))
+    floor = F.when(F.col("l_partkey") % 11 != 0, _join(", потолки 3.1м, дом 88/4, этаж ", F.col("l_partkey") % 9 + 1, "/9")).otherwise(F.lit(""))
     name = F.when(F.col("l_partkey") % 6 != 0, _join('<a class="a-card__title" href="/a/show/', F.col("id"), '">', title, "</a>")).otherwise(
         _join("<h3>", title, "</h3>")
     )

@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -24,8 +26,7 @@ SILENT = frozenset(("script", "style", "template"))
 LINK_PART = "/a/show/"
 CARD_CLASSES = ("a-card", "offer")
 SUBTITLE = "a-card__subtitle"
-CLIMB = 6
-OBJECT_SPAN = 8000
+NEAR = 6
 DOTTED = re.compile(r"\d{2}\.\d{2}\.\d{4}")
 
 _TEXT = T.StringType()
@@ -48,12 +49,13 @@ DETAIL = T.StructType(
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "classes", "parent", "children")
+    __slots__ = ("tag", "attrs", "classes", "parent", "children", "subtitles")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.classes = (attrs.get("class") or "").split()
         self.children: list[Node | str] = []
+        self.subtitles = 0  # nodes inside that carry a card's subtitle
 
     def walk(self) -> Iterator[Node]:
         """Descendants in document order (no recursion: pages nest deeply)."""
@@ -63,6 +65,18 @@ class Node:
             yield node
             stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
+    def around(self) -> Iterator[Node]:
+        """Enclosing nodes, innermost first."""
+        box = self.parent
+        while box is not None:
+            yield box
+            box = box.parent
+
+    @property
+    def is_card_box(self) -> bool:
+        names = " ".join(self.classes).lower()
+        return any(name in names for name in CARD_CLASSES)
+
     def strings(self) -> Iterator[str]:
         stack: list[Node | str] = list(reversed(self.children))
         while stack:
@@ -90,6 +104,9 @@ class _Reader(HTMLParser):
         node = Node(tag, dict(reversed(attrs)), self.here)
         self.here.children.append(node)
         self.nodes.append(node)
+        if SUBTITLE in node.classes:
+            for box in node.around():
+                box.subtitles += 1
         return node
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -149,31 +166,25 @@ def read(html: str) -> tuple[Node, list[Node]]:
 
 
 def _card_of(link: Node) -> Node:
-    """The card around a link: the near ancestor with exactly one subtitle."""
-    node, outer = link, link
-    for _ in range(CLIMB):
-        parent = node.parent
-        if parent is None:
-            break
-        names = " ".join(parent.classes).lower()
-        if any(name in names for name in CARD_CLASSES):
-            if sum(SUBTITLE in item.classes for item in parent.walk()) == 1:
-                return parent
-            outer = parent
-        node = parent
-    return outer
+    """The box that is the link's card: with one subtitle if there is one, else the widest."""
+    boxes = [box for box in islice(link.around(), NEAR) if box.is_card_box]
+    single = [box for box in boxes if box.subtitles == 1]
+    return [*single[:1], *boxes[::-1], link][0]
 
 
 def cards(html: str | None) -> list[dict]:
     """Texts of the card around every listing link, in page order."""
     if html is None or LINK_PART not in html:
         return []
-    out = []
+    out, seen = [], {}
     for link in read(html)[1]:
         href = link.attrs.get("href")
         if link.tag != "a" or not href or LINK_PART not in href:
             continue
-        card = Index(_card_of(link).walk())
+        box = _card_of(link)
+        if id(box) not in seen:
+            seen[id(box)] = Index(box.walk())
+        card = seen[id(box)]
         out.append(
             {
                 "href": href,
@@ -192,23 +203,20 @@ def cards(html: str | None) -> list[dict]:
     return out
 
 
+_JSON = json.JSONDecoder()
+
+
+def _objects(html: str, key: str) -> Iterator[dict]:
+    """Objects that stand as JSON under ``key`` anywhere in a page."""
+    for found in re.finditer(rf'"{key}"\s*:\s*(?={{)', html):
+        with suppress(json.JSONDecodeError, RecursionError):
+            yield _JSON.raw_decode(html, found.end())[0]
+
+
 def _embedded(html: str, key: str, marker: str) -> str | None:
-    """First embedded JSON object under ``key`` that carries ``marker``."""
-    for found in re.finditer(rf'"{key}"\s*:\s*{{', html):
-        start, depth = found.end() - 1, 0
-        for end in range(start, min(len(html), start + OBJECT_SPAN)):
-            depth += {"{": 1, "}": -1}.get(html[end], 0)
-            if depth == 0:
-                break
-        else:
-            continue
-        try:
-            value = json.loads(html[start : end + 1])
-        except json.JSONDecodeError:
-            continue
-        if marker in value:
-            return json.dumps(value, ensure_ascii=False)
-    return None
+    """First embedded object under ``key`` that carries ``marker``, as JSON."""
+    value = next((v for v in _objects(html, key) if marker in v), None)
+    return None if value is None else json.dumps(value, ensure_ascii=False)
 
 
 def _params(page: Index) -> list[dict]:

@@ -5,42 +5,42 @@ from kvartal.operators import extract as ex
 
 LISTING = """<html><body><section class="results">
 <article class="a-card"><div><a href="/a/show/11?srchid=5"><img></a></div>
- <a class="a-card__title" href="/a/show/11">2-комнатная · 58.5 м² · 6/9 этаж</a>
- <div class="a-card__price">35&nbsp;000 000 ₸</div><div class="a-card__subtitle">Алматы, Бостандыкский р-н</div>
- <div class="a-card__text-preview">потолки 2.7м, дом 535/2</div></article>
+ <a class="a-card__title" href="/a/show/11">3-комнатная · 74.2 м² · 4/12 этаж</a>
+ <div class="a-card__price">48&nbsp;250 000 ₸</div><div class="a-card__subtitle">Шымкент, Каратауский р-н</div>
+ <div class="a-card__text-preview">потолки 3.1м, дом 88/4</div></article>
 <article class="a-card"><a class="a-card__title" href="/a/show/22">1-комнатная</a>
- <div class="a-card__subtitle">Навои 5</div></article>
+ <div class="a-card__subtitle">Сарыарка 9</div></article>
 </section><footer>reCAPTCHA</footer></body></html>"""
-DETAIL = """<html><head><title>Продажа №22: Навои 5 — за 21 млн — сайт</title></head><body>
-<h1>Квартира</h1><div class="offer__price">21 500 000 ₸</div>
-<div class="offer__info">Площадь: 41 м² Этаж: 3/5</div>
-<dl><dt>Год постройки</dt><dd>2019</dd><dt>Высота потолков</dt><dd>2,7 м</dd></dl>
-<div><span class="offer__info-title">Состояние</span><b class="offer__advert-short-info">свежий ремонт</b></div>
-<div class="js-description">Тёплая<script>x()</script><p>квартира</p></div>
-<script>{"owner":{"label":{"a":1}},"owner":{"isOwner":false,"label":{"a":{}}},"agency":{"name":" Top City "},"createdAt":"2025-03-01","addedAt":"2025-05-01"}</script>
+DETAIL = """<html><head><title>Продажа №22: Сарыарка 9 — за 17 млн — сайт</title></head><body>
+<h1>Квартира</h1><div class="offer__price">17 300 000 ₸</div>
+<div class="offer__info">Площадь: 36 м² Этаж: 2/4</div>
+<dl><dt>Год постройки</dt><dd>1988</dd><dt>Высота потолков</dt><dd>2,5 м</dd></dl>
+<div><span class="offer__info-title">Состояние</span><b class="offer__advert-short-info">евроремонт</b></div>
+<div class="js-description">Светлая<script>x()</script><p>квартира</p></div>
+<script>{"owner":{"label":{"a":1}},"owner":{"isOwner":false,"label":{"a":{}}},"agency":{"name":" North Homes "},"createdAt":"2024-07-11","addedAt":"2024-09-02"}</script>
 <p>unclosed</body></html>"""
 
 
 def test_listing_and_detail_page(spark):
     pages = spark.createDataFrame([("u", 1, LISTING, 200), ("v", 2, "captcha", 200)], "url string, page_no int, html string, status int")
-    previews = ex.previews(ex.open_pages(pages), "https://site.test").withColumn("city", F.lit(" Алматы "))
+    previews = ex.previews(ex.open_pages(pages), "https://site.test").withColumn("city", F.lit(" Шымкент "))
     one, two = previews.orderBy("card_pos").collect()
     assert (one.external_id, one.url, one.price_kzt, one.rooms, one.area_m2, one.floor, one.district) == (
-        "11", "https://site.test/a/show/11", 35_000_000, 2, 58.5, "6/9", "Бостандыкский р-н",
+        "11", "https://site.test/a/show/11", 48_250_000, 3, 74.2, "4/12", "Каратауский р-н",
     )
-    assert (two.external_id, two.price_kzt, two.rooms, two.address) == ("22", None, 1, "Навои 5")
+    assert (two.external_id, two.price_kzt, two.rooms, two.address) == ("22", None, 1, "Сарыарка 9")
     detail_pages = spark.createDataFrame([("22", DETAIL), ("33", "<p>")], "external_id string, html string")
     listing = ex.merge_detail(previews, ex.details_of(previews, detail_pages), "site", F.lit("2026-01-01").cast("timestamp")).collect()
     assert len(listing) == 1
     got = listing[0]
     assert (got.price_kzt, got.title, got.city, got.address, got.rooms, got.area_m2, got.floor) == (
-        21_500_000, "Квартира", "Алматы", "Навои 5", 1, 41.0, "3/5",
+        17_300_000, "Квартира", "Шымкент", "Сарыарка 9", 1, 36.0, "2/4",
     )
     assert (got.posted_by, got.agency_name, got.build_year, got.ceiling_height_m, got.condition) == (
-        "agent", "Top City", 2019, 2.7, "свежий ремонт",
+        "agent", "North Homes", 1988, 2.5, "евроремонт",
     )
-    assert got.description == "Тёплая\nквартира"
-    assert str(got.published_at) == "2025-03-01 00:00:00"
+    assert got.description == "Светлая\nквартира"
+    assert str(got.published_at) == "2024-07-11 00:00:00"
 
 
 def test_card_container_prefers_the_one_subtitle_root():
@@ -60,3 +60,9 @@ def test_invalid_rows_go_to_quarantine(spark):
     good, bad = ex.split_valid(spark.createDataFrame(rows, cols), ex.listing_problems())
     assert [r.external_id for r in good.collect()] == ["1"]
     assert bad.first().problems == ["url", "price_kzt", "area_m2", "rooms", "posted_by", "build_year", "ceiling_height_m", "photos"]
+
+
+def test_long_embedded_object_is_read():
+    page = '<script>{"owner":{"note":"' + "}x{" * 9000 + '","isOwner":true}}</script>'
+    assert '"isOwner": true' in h.detail(page)["owner_json"]
+    assert h.detail('<script>{"owner":{"isOwner":</script>')["owner_json"] is None
