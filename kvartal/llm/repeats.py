@@ -34,9 +34,9 @@ from kvartal.llm.shared import partitions, row_id
 #: Rows of a chunk: 2 ** CHUNK.
 CHUNK = 7
 #: Super-k-mers of one group at most, on average over salts.
-HOT = 4096
+HOT = 1024
 #: Bytes of packed strings that are compared at once, but for a longer group.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 SPANS = "chunk long, row long, first long, last long"
 
 
@@ -310,39 +310,37 @@ def _spans(row: np.ndarray, window: np.ndarray) -> dict:
 
 
 def _groups(batches: Iterator, salted: bool = False) -> Iterator[Group]:
-    """Whole groups of sorted rows, gathered up to BUFFER bytes; ``salted``: only dealt-out ones."""
+    """Whole groups of sorted rows, some BUFFER bytes at once; ``salted``: only dealt-out ones."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    held, size = [], 0
+    rest = None
     for batch in batches:
         if salted:
             batch = batch.filter(pa.array(batch.column(1).to_numpy() >= 0))
         if not batch.num_rows:
             continue
-        held.append(batch)
-        size += batch.nbytes
-        if size >= BUFFER:
-            table = pa.Table.from_batches(held).combine_chunks()
-            key, salt = table.column(0).to_numpy(), table.column(1).to_numpy()
-            change = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
-            if len(change):
-                done = int(change[-1]) + 1
-                yield _group(table.slice(0, done))
-                table = table.slice(done)
-            held, size = table.to_batches(), table.nbytes
-    if held:
-        yield _group(pa.Table.from_batches(held))
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        key, salt = table.column(0).to_numpy(), table.column(1).to_numpy()
+        change = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+        bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(5)).to_numpy())])
+        start = 0
+        while len(change) and bytes_before[change[-1]] - bytes_before[start] >= BUFFER:
+            stop = int(change[np.searchsorted(bytes_before[change], bytes_before[start] + BUFFER)])
+            yield _group(table.slice(start, stop - start))
+            start = stop
+        rest = table.slice(start)
+    if rest is not None and rest.num_rows:
+        yield _group(rest)
 
 
 def _group(table) -> Group:
-    import pyarrow as pa
-
     table = table.combine_chunks()
     (first, data, offsets), *more = texts(table.column(5), 1 << 62)
     assert not first and not more
     known = table.column(3).combine_chunks()
     order = np.where(known.is_null().to_numpy(zero_copy_only=False), np.int64(2**63 - 1), known.fill_null(0).to_numpy())
-    assert isinstance(table, pa.Table)
     return Group(data, offsets, table.column(2).to_numpy(), order, table.column(4).to_numpy(), table.column(1).to_numpy() >= 0)
 
 
