@@ -60,6 +60,15 @@ def texts(column, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarr
         row = stop
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, the same wherever the range stands."""
+    forward, backward = _powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=sums[1:])
+    value = (sums[ends] - sums[starts]) * backward[np.minimum(starts, len(data) - 1)] if len(data) else sums[starts]
+    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Words of a slice of texts: byte places, and the number of words before each text."""
 
@@ -76,12 +85,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash per word, the same wherever the word stands."""
-        data = _LOWER[self.data] if lower else self.data
-        forward, backward = _powers(len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=sums[1:])
-        word = (sums[self.ends] - sums[self.starts]) * backward[self.starts]
-        return mix(word + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return hashes(_LOWER[self.data] if lower else self.data, self.starts, self.ends)
 
 
 def windows(values: np.ndarray, n: int, base: int) -> np.ndarray:

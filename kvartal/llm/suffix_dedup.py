@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from kvartal.llm import repeats
-from kvartal.llm.arrays import mix, windows
+from kvartal.llm.arrays import hashes, mix, windows
 
 LENGTH, K = 100, 24
 RESULT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -77,28 +77,66 @@ def smaller_before_and_after(run: np.ndarray, position: np.ndarray) -> tuple[np.
     return before, after
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def later_copies(data: np.ndarray, offsets: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Strings whose bytes an earlier string (by position) has as a whole; bytes are compared."""
+    start, size = offsets[:-1], np.diff(offsets)
+    value = hashes(data, start, offsets[1:])
+    order = np.lexsort((position, value, size))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (value[order][1:] != value[order][:-1]) | (size[order][1:] != size[order][:-1])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    maybe, like = order[~new], first[~new]
+    out = np.zeros(len(size), dtype=bool)
+    if len(maybe):
+        same = data[_places(start[maybe], size[maybe])] == data[_places(start[like], size[like])]
+        out[maybe] = np.logical_and.reduceat(same, np.cumsum(size[maybe]) - size[maybe])
+    return out
+
+
 def judge(group: repeats.Group) -> repeats.Verdict:
-    at = np.flatnonzero(repeats.valid_windows(group.offsets, len(group.data), LENGTH))
-    string = np.searchsorted(group.offsets, at, side="right") - 1
-    place = at - group.offsets[string]
-    # positions: the order of (document, row, place in the text); rows are few, so they are ranked first
+    # strings are ordered by (document, row, place); they are few, so they are ranked first
     by_row = np.lexsort((group.row, group.order))
-    changed = (group.order[by_row][1:] != group.order[by_row][:-1]) | (group.row[by_row][1:] != group.row[by_row][:-1])
+    order, row = group.order[by_row], group.row[by_row]
     of_row = np.empty(len(by_row), dtype=np.int64)
-    of_row[by_row] = np.cumsum(np.concatenate([[0], changed]))
-    position = of_row[string] << np.int64(40) | group.first[string] + place
-
-    rank = suffix_ranks(group.data, LENGTH)[at]
+    of_row[by_row] = np.cumsum(np.concatenate([[0], (order[1:] != order[:-1]) | (row[1:] != row[:-1])]))
+    position = of_row << np.int64(40) | group.first
+    copy = later_copies(group.data, group.offsets, position)  # all of their suffixes have earlier matches
+
+    whole = np.flatnonzero(copy)
+    windows_of = np.diff(group.offsets)[whole] - LENGTH + 1
+    gone_string = np.repeat(whole, windows_of)
+    gone_place = _places(np.zeros(len(whole), dtype=np.int64), windows_of)
+    kept = np.flatnonzero(~copy)
+    size = np.diff(group.offsets)[kept]
+    data = group.data[_places(group.offsets[kept], size)]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.flatnonzero(repeats.valid_windows(offsets, len(data), LENGTH))
+    string = np.searchsorted(offsets, at, side="right") - 1
+    place = at - offsets[string]
+    rank = suffix_ranks(data, LENGTH)[at]
     suffixes = np.argsort(rank)
     run = np.cumsum(np.concatenate([[False], rank[suffixes][1:] != rank[suffixes][:-1]])).astype(np.int64)
-    before, after = smaller_before_and_after(run, position[suffixes])
+    before, after = smaller_before_and_after(run, (position[kept][string] + place)[suffixes])
     earlier = np.zeros(len(at), dtype=bool)
     earlier[suffixes] = before | after
-    sent = np.flatnonzero(~earlier & group.salted[string])
+    sent = np.flatnonzero(~earlier & group.salted[kept][string])
     digest = np.zeros((0, 2), dtype=np.uint64)
     if len(sent):
-        digest = np.stack([mix(windows(group.data, LENGTH, base))[at[sent]] for base in (_FIRST, _SECOND)], axis=1)
-    return repeats.Verdict(string, place, np.flatnonzero(earlier), sent, digest, np.zeros(len(sent), dtype=bool))
+        digest = np.stack([mix(windows(data, LENGTH, base))[at[sent]] for base in (_FIRST, _SECOND)], axis=1)
+    n_whole = len(gone_place)
+    return repeats.Verdict(
+        np.concatenate([gone_string, kept[string]]),
+        np.concatenate([gone_place, place]),
+        np.concatenate([np.arange(n_whole), n_whole + np.flatnonzero(earlier)]),
+        n_whole + sent,
+        digest,
+        np.zeros(len(sent), dtype=bool),
+    )
 
 
 def settle(number: np.ndarray, place: np.ndarray, met: np.ndarray) -> np.ndarray:
