@@ -22,8 +22,8 @@ import base64
 import functools
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -87,12 +87,14 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
 
 
 class _Chunk:
-    """Texts of a chunk as numbers of its distinct words, most frequent first."""
+    """Texts of a chunk as numbers of its distinct words, in order of first appearance.
+
+    Frequent words come early, so most numbers are small.
+    """
 
     def __init__(self, number: int, docs: list[tuple[int | None, list[str]]]) -> None:
         self.number, self.docs = number, docs
-        often = Counter(w for _, words in docs for w in words)
-        self.words = sorted(often, key=lambda w: (-often[w], w))
+        self.words = dict.fromkeys(chain.from_iterable(words for _, words in docs))
         self.bytes = [w.encode() for w in self.words]
 
     def buckets(self, n: int) -> np.ndarray:
@@ -100,7 +102,7 @@ class _Chunk:
 
     def places(self) -> bytes:
         number = {w: k for k, w in enumerate(self.words)}
-        flat = np.fromiter((number[w] for _, words in self.docs for w in words), dtype=np.int64)
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(w for _, w in self.docs)), dtype=np.int64)
         known = np.array([d is not None for d, _ in self.docs], dtype=np.uint8)
         ids = np.array([d or 0 for d, _ in self.docs], dtype="<i8")
         lens = np.array([len(words) for _, words in self.docs], dtype="<u4")
@@ -167,13 +169,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         import pyarrow as pa
 
         coder, known = _encoding(where, pattern), {}
-        wide = "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
         out = []
         for data in group.column("words").to_pylist():
             words = _unpack_words(data)
             for w in words:
                 if w not in known:
-                    known[w] = np.array(coder.encode_ordinary(w.decode()), dtype=wide).tobytes()
+                    known[w] = np.array(coder.encode_ordinary(w.decode()), dtype="<u4").tobytes()
             out.append(_pack_words([known[w] for w in words]))
         return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "ids": pa.array(out, pa.binary())})
 
@@ -193,7 +194,6 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         import pyarrow as pa
 
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": []}
-        wide = "<u2" if len(ranks(where)) <= 1 << 16 else "<u4"
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
         for order, places in zip(left.column("order").to_pylist(), left.column("places").to_pylist(), strict=True):
             doc_ids, lens, flat, n_words = _read_places(places)
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             for b in np.unique(bucket).tolist():
                 which = np.flatnonzero(bucket == b).tolist()
                 for k, ids in zip(which, _unpack_words(answers[b]), strict=True):
-                    by_word[k] = np.frombuffer(ids, wide).astype("<u4").tobytes()
+                    by_word[k] = ids
             ends = np.cumsum(lens).tolist()
             flat = flat.tolist()
             for doc, a, b in zip(doc_ids, [0, *ends], ends, strict=False):
