@@ -108,9 +108,7 @@ def _with(body: str, *names: str) -> str:
 
 def flagship(v):
     """For every user the first six distinct listings that fit, compared to the batch."""
-    pairs = m.match(v.criteria, _collapsed(v), strict_district=True)
-    top = m.top_per_user(pairs, ["place"])
-    out = s.with_batch_comparison(top, ["user_id"])
+    out = s.with_batch_comparison(_top(v), ["user_id"])
     return out.select(
         "user_id", "rank", "external_id", "price_kzt",
         F.round("ppm2", 2).alias("ppm2"),
@@ -122,17 +120,26 @@ def flagship(v):
     )
 
 
-TOP_SQL = """
-, fit AS (
-  SELECT c.user_id, l.* FROM v_criteria c JOIN collapsed l ON c.city = l.city
+PRINT = """CASE WHEN l.rooms IS NOT NULL AND l.area_m2 IS NOT NULL
+      THEN concat_ws('|', l.rooms, CAST(round_even(l.area_m2 * 10, 0) AS BIGINT), l.floor, lower(l.address))
+      ELSE 'own ' || l.external_id END"""
+TOP_SQL = f"""
+, site AS (
+  SELECT c.user_id, c.districts AS wanted, l.*, {PRINT} AS print FROM v_criteria c JOIN v_listings l ON c.city = l.city
   WHERE (c.rooms IS NULL OR l.rooms IS NULL OR list_contains(c.rooms, l.rooms))
-    AND (c.districts IS NULL OR list_contains(c.districts, l.district))
     AND l.price_kzt BETWEEN c.min_price_kzt AND c.max_price_kzt
     AND (l.area_m2 IS NULL OR l.area_m2 BETWEEN c.min_area_m2 AND c.max_area_m2)
     AND (NOT c.owner_only OR l.posted_by = 'owner')),
+firsts AS (SELECT user_id, print, min(struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate)) AS place
+  FROM site GROUP BY 1, 2),
+cheapest AS (
+  SELECT * FROM site QUALIFY row_number() OVER (PARTITION BY user_id, print ORDER BY price_kzt, {POS_SQL}) = 1),
+fit AS (
+  SELECT c.*, f.place FROM cheapest c JOIN firsts f ON c.user_id = f.user_id AND c.print = f.print
+  WHERE wanted IS NULL OR list_contains(wanted, district)),
 top AS (
   SELECT *, row_number() OVER (PARTITION BY user_id
-      ORDER BY place_order, place_line, place_part, place_supp, place_date) AS rank
+      ORDER BY place.a, place.b, place.c, place.d, place.e) AS rank
   FROM fit QUALIFY rank <= 6),
 carded AS (
   SELECT *, price_kzt / area_m2 AS ppm2,
@@ -155,7 +162,8 @@ JUDGED_COLS = """basis,
 
 
 def _top(v):
-    return m.top_per_user(m.match(v.criteria, _collapsed(v), strict_district=True), ["place"])
+    flats = m.flats(v.criteria, v.listings, POS)
+    return m.with_listing(m.top_per_user(flats, ["place"]), v.listings)
 
 
 def w4(v):
@@ -263,23 +271,23 @@ QUALIFY row_number() OVER (PARTITION BY city, l_partkey ORDER BY {POS_SQL}) = 1"
     ),
     "W4_per_user_cap": (
         w4,
-        _with(W3_BODY + TOP_SQL + "SELECT user_id, rank, external_id FROM top", "v_listings", "v_criteria"),
+        _with(TOP_SQL + "SELECT user_id, rank, external_id FROM top", "v_listings", "v_criteria"),
     ),
     "W14_batch_comparison": (
         w14,
         _with(
-            W3_BODY + TOP_SQL + "SELECT user_id, external_id, round(batch_avg, 2) AS batch_avg, batch_count FROM carded",
+            TOP_SQL + "SELECT user_id, external_id, round(batch_avg, 2) AS batch_avg, batch_count FROM carded",
             "v_listings", "v_criteria",
         ),
     ),
     "P24_price_verdict": (
         p24,
-        _with(W3_BODY + TOP_SQL + f"SELECT user_id, external_id, {JUDGED_COLS} FROM judged", "v_listings", "v_criteria"),
+        _with(TOP_SQL + f"SELECT user_id, external_id, {JUDGED_COLS} FROM judged", "v_listings", "v_criteria"),
     ),
     "flagship_top_listings": (
         flagship,
         _with(
-            W3_BODY + TOP_SQL
+            TOP_SQL
             + f"""SELECT user_id, rank, external_id, price_kzt, round(ppm2, 2) AS ppm2,
   round(batch_avg, 2) AS batch_avg, batch_count, {JUDGED_COLS} FROM judged""",
             "v_listings", "v_criteria",

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvartal.functions import text as tx
-from kvartal.operators.skew import ROWS_PER_SPLIT, salted_join
 
 MAX_RESULTS = 6
 BAND_RATIO = 1.5
@@ -75,26 +74,8 @@ def price_band(price: Column) -> Column:
 TOP_BAND = math.floor(math.log(MAX_PRICE) / math.log(BAND_RATIO))
 
 
-def match(
-    criteria: DataFrame,
-    listings: DataFrame,
-    strict_district: bool = False,
-    rows_per_split: int = ROWS_PER_SPLIT,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Every (user, listing) pair that fits.
-
-    The price range is turned into the short list of geometric bands it covers,
-    a listing lies in exactly one band, and the join is an equi join on city,
-    deal and band; only pairs of one band meet the exact test. A band of a big
-    city that is still hot is split (see ``salted_join``). A listing without a
-    price lies in a band of its own (-1) that every request probes.
-
-    Criteria: user_id, city, deal_type, rent_period, min/max_price_kzt,
-    rooms, districts, district_keys, min/max_area_m2, owner_only. Listings:
-    the listing columns and district_key. ``carry`` names further criteria
-    columns to keep on the pairs.
-    """
+def _asked(criteria: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """One row per request and price band that it covers, band -1 (no price) included."""
     asked = criteria.select(
         "user_id",
         "city",
@@ -114,7 +95,30 @@ def match(
     low = F.least(F.coalesce(price_band(F.col("min_price_kzt")), F.lit(0)), F.lit(TOP_BAND))
     high = F.least(F.coalesce(price_band(F.col("max_price_kzt")), F.lit(TOP_BAND)), F.lit(TOP_BAND))
     bands = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    asked = asked.withColumn("__band", F.explode(F.array_append(bands, F.lit(-1))))
+    return asked.withColumn("__band", F.explode(F.array_append(bands, F.lit(-1))))
+
+
+def match(
+    criteria: DataFrame,
+    listings: DataFrame,
+    strict_district: bool = False,
+    carry: Sequence[str] = (),
+    any_district: bool = False,
+) -> DataFrame:
+    """Every (user, listing) pair that fits; ``any_district`` leaves the district out.
+
+    The price range is turned into the short list of geometric bands it covers,
+    a listing lies in exactly one band, and the join is an equi join on city,
+    deal and band; only pairs of one band meet the exact test. Where a band of a
+    big city is hot, Spark's skew join cuts both sides by their measured size, so a
+    task meets a part of the listings with a part of the requests. A listing
+    without a price lies in a band of its own (-1) that every request probes.
+
+    Criteria: user_id, city, deal_type, rent_period, min/max_price_kzt,
+    rooms, districts, district_keys, min/max_area_m2, owner_only. Listings:
+    the listing columns and district_key. ``carry`` names further criteria
+    columns to keep on the pairs.
+    """
     offered = listings.withColumn(
         "__band",
         F.when(
@@ -122,19 +126,50 @@ def match(
             F.least(price_band(F.col("price_kzt")), F.lit(TOP_BAND)),
         ).otherwise(F.lit(-1)),
     )
-    found = district_match(
-        F.col("district_key"), F.col("want_districts"), F.col("want_district_keys")
+    found = _district_verdict()
+    district_ok = F.lit(True) if any_district else found == "match" if strict_district else found != "mismatch"
+    pairs = offered.join(_asked(criteria, carry), ["city", "deal_type", "__band"])
+    return pairs.where(preview_fit() & district_ok & site_fit()).drop("__band", "want_deal_type")
+
+
+def _district_verdict() -> Column:
+    return district_match(F.col("district_key"), F.col("want_districts"), F.col("want_district_keys"))
+
+
+def flats(
+    criteria: DataFrame, listings: DataFrame, order: Sequence[str], strict_district: bool = True
+) -> DataFrame:
+    """Distinct flats of every user's result: user_id, external_id, place and flat.
+
+    The site filters come first; then the clones inside one user's result collapse to
+    the cheapest, at the place of the first; then the district of what is left counts.
+    So a flat that an agent and its owner post is the owner's for a user who wants
+    owners only. Pairs are narrow until the cut: payload is joined afterwards
+    (``with_listing``). ``flat`` identifies the flat across its clones.
+    """
+    rest = ["external_id", "city", "deal_type", "rent_period", "price_kzt", "rooms", "area_m2", "posted_by", "district_key"]
+    own = F.concat(F.lit("id "), "external_id")
+    narrow = listings.select(
+        *rest, F.struct(*order).alias("place"), F.coalesce(F.to_json(fingerprint()), own).alias("flat")
     )
-    district_ok = found == "match" if strict_district else found != "mismatch"
-    pairs = salted_join(
-        offered,
-        asked,
-        ["city", "deal_type", "__band"],
-        ["external_id"],
-        preview_fit() & district_ok & site_fit(),
-        rows_per_split,
+    pairs = match(criteria, narrow, any_district=True).select(
+        "user_id",
+        "flat",
+        "place",
+        F.struct(
+            F.col("price_kzt").isNull().alias("no_price"), "price_kzt", F.col("place").alias("at"), "external_id",
+            _district_verdict().alias("district"),
+        ).alias("row"),
     )
-    return pairs.drop("__band", "want_deal_type")
+    merged = pairs.groupBy("user_id", "flat").agg(F.min("row").alias("row"), F.min("place").alias("place"))
+    district = F.col("row.district")
+    fit = district == "match" if strict_district else district != "mismatch"
+    return merged.where(fit).select("user_id", F.col("row.external_id").alias("external_id"), "place", "flat")
+
+
+def with_listing(rows: DataFrame, listings: DataFrame) -> DataFrame:
+    """Payload of the few rows that are left."""
+    return rows.join(listings, "external_id")
 
 
 def detail_fit() -> Column:

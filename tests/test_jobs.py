@@ -1,15 +1,20 @@
 """Alert stream, snapshots, and a few registered queries beside their SQL."""
 
+import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import compare, connect
 from checks.registry import oracle_sql, queries
+from kvartal.operators import claims as cl
+from kvartal.operators import match as m
 from kvartal.operators import state as st
 from kvartal.sources import snapshots
 from kvartal.streaming import alerts as al
+from kvartal.streaming import keyed
 
 SMALL = "/root/testdata/sf0.001"
 KEYS = [
@@ -27,7 +32,7 @@ def test_query_equals_sql(spark, key):
 
 
 def _listings(spark, ids, price=10):
-    rows = [(i, "A", "sale", None, price, 2, 50.0, "x", "owner", f"5/{n + 6}", f"Навои {n}") for n, i in enumerate(ids)]
+    rows = [(i, "A", "sale", None, price, 2, 50.0, "x", "owner", "5/6", f"Lane {i if i.isdigit() else 0}") for i in ids]
     cols = (
         "external_id string, city string, deal_type string, rent_period string, price_kzt long, rooms int, area_m2 double,"
         " district_key string, posted_by string, floor string, address string"
@@ -35,14 +40,55 @@ def _listings(spark, ids, price=10):
     return spark.createDataFrame(rows, cols).withColumn("published_at", F.lit("2026-01-01").cast("timestamp"))
 
 
-def test_alerts_are_sent_once_and_replay_is_idempotent(spark, tmp_path):
-    folders = al.Folders(*(f"{tmp_path}/{n}" for n in ("outbox", "seen", "touched")))
-    target = [(1, "A", "sale", None, None, 100, None, None, None, None, None, False)]
+def _targets(spark, users=(1,), owner_only=False, low=None):
+    target = [(u, "A", "sale", None, low, 100, None, None, None, None, None, owner_only) for u in users]
     cols = (
         "user_id long, city string, deal_type string, rent_period string, min_price_kzt long, max_price_kzt long, rooms array<int>,"
         " districts array<string>, district_keys array<string>, min_area_m2 double, max_area_m2 double, owner_only boolean"
     )
-    targets = spark.createDataFrame(target, cols)
+    return spark.createDataFrame(target, cols)
+
+
+def _folders(path):
+    return al.Folders(*(f"{path}/{n}" for n in ("outbox", "seen", "touched", "listings")))
+
+
+@pytest.mark.parametrize("batches", [1, 2, 10])
+def test_no_listing_is_lost_however_batches_are_cut(spark, tmp_path, batches):
+    folders, at = _folders(tmp_path), F.lit("2026-01-02").cast("timestamp")
+    everything = _listings(spark, [str(i) for i in range(10)])
+    for k in range(batches):
+        al.alert_batch(everything.where(F.col("external_id").cast("int") % batches == k), k, _targets(spark), folders, at)
+    seen = spark.read.parquet(folders.seen)
+    assert sorted(r.external_id for r in seen.collect()) == sorted(str(i) for i in range(10))
+    sent = spark.read.parquet(folders.outbox)
+    assert sum(r.listings for r in sent.collect()) == 10 and all(r.listings <= 6 for r in sent.collect())
+    assert al.listing_upserts(spark.read.parquet(folders.listings)).count() == 10
+    # a plain search leaves them alone while the claims last
+    again = al.new_matches(everything, _targets(spark), seen.where("false"), al.claims_of(seen), at)
+    assert again.count() == 0
+
+
+def test_a_flat_is_alerted_once_whichever_batch_brings_its_clone(spark, tmp_path):
+    folders, at = _folders(tmp_path), F.lit("2026-01-02").cast("timestamp")
+    one = _listings(spark, ["1"])
+    al.alert_batch(one, 0, _targets(spark), folders, at)
+    al.alert_batch(one.withColumn("external_id", F.lit("9")), 1, _targets(spark), folders, at)
+    assert [r.external_id for r in spark.read.parquet(folders.seen).collect()] == ["1"]
+
+
+def test_clones_collapse_inside_a_users_result(spark):
+    agent = _listings(spark, ["agent"], price=10).withColumn("posted_by", F.lit("agent"))
+    both = agent.unionByName(_listings(spark, ["owner"], price=12))
+    pick = lambda t: [r.external_id for r in m.flats(t, both, ["published_at", "external_id"]).collect()]
+    assert pick(_targets(spark)) == ["agent"]
+    assert pick(_targets(spark, owner_only=True)) == ["owner"]
+    assert pick(_targets(spark, low=11)) == ["owner"]
+
+
+def test_alerts_are_sent_once_and_replay_is_idempotent(spark, tmp_path):
+    folders = al.Folders(*(f"{tmp_path}/{n}" for n in ("outbox", "seen", "touched", "listings")))
+    targets = _targets(spark)
     at = F.lit("2026-01-02").cast("timestamp")
 
     def sent(batch):
@@ -79,3 +125,26 @@ def test_url_of_another_listing_is_rejected(spark):
     snapshot, rejects = st.upsert_listings(old, new, ["created_at"])
     assert sorted((r.external_id, r.url, r.created_at) for r in snapshot.collect()) == [("1", "u1", 0), ("2", "u9", 0), ("4", "u2", 1)]
     assert [r.external_id for r in rejects.collect()] == ["3"]
+
+
+def test_stream_verdicts_do_not_depend_on_chunks(spark, tmp_path):
+    rng = random.Random(4)
+    ticks = sorted(rng.randrange(0, 1200) for _ in range(200))
+    rows = [(1, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), k) for k, t in enumerate(ticks)]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "user_id long, ts timestamp, seq long")
+    want = {r.seq: r.verdict for r in cl.limiter(log, 3, 60).collect()}
+    beat = spark.createDataFrame([(-1, dt.datetime(2026, 1, 3), -1)], "user_id long, ts timestamp, seq long")
+    log.unionByName(beat).coalesce(1).write.parquet(f"{tmp_path}/in")
+    keyed.use_rocksdb(spark)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = keyed.limiter(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), 3, 60)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    got = {r.seq: r.verdict for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.user_id == 1}
+    assert got == want

@@ -34,7 +34,7 @@ def brute(c, x, strict):
     return True
 
 
-def test_match_equals_brute_force_with_hot_bands_split(spark):
+def test_match_equals_brute_force(spark):
     rnd = random.Random(3)
     pick = lambda *xs: rnd.choice(xs)
     listings = [
@@ -53,7 +53,7 @@ def test_match_equals_brute_force_with_hot_bands_split(spark):
         )
     c, x = spark.createDataFrame(criteria, CRITERIA), spark.createDataFrame(listings, LISTING)
     for strict in (False, True):
-        got = sorted((r.user_id, r.external_id) for r in m.match(c, x, strict, rows_per_split=5).collect())
+        got = sorted((r.user_id, r.external_id) for r in m.match(c, x, strict).collect())
         want = sorted((a[0], b[0]) for a in criteria for b in listings if brute(a, b, strict))
         assert got == want
 
