@@ -73,10 +73,13 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, b = SELECTORS[selector]
         which = np.flatnonzero(used == selector)
         if len(which):
-            places = starts[which, None] + np.arange(n)
-            taken = padded[places]
-            taken[places >= limit[which, None]] = 0
-            words[which] |= np.bitwise_or.reduce(taken << (np.arange(n, dtype=np.uint64) * np.uint64(b)), axis=1)
+            at, over = starts[which], limit[which]
+            made, cut = words[which], np.flatnonzero(at + n > over)
+            for j in range(n):
+                value = padded[at + j]
+                value[cut[at[cut] + j >= over[cut]]] = 0
+                made |= value << np.uint64(j * b)
+            words[which] = made
     offsets = np.searchsorted(starts, np.arange(blocks + 1) * BLOCK).astype(np.uint32)
     return words, offsets, padded[starts[used == 0]]
 
@@ -88,16 +91,15 @@ def decode(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: in
     before = np.cumsum(counts) - counts
     block = np.repeat(np.arange(blocks), np.diff(offsets.astype(np.int64)))
     first = before[np.minimum(offsets[:-1], max(0, len(words) - 1))] if len(words) else before
-    starts = before - first[block] + block * BLOCK
-    ends = np.minimum((block + 1) * BLOCK, n)
-    out = np.zeros(n, dtype=np.uint64)
+    room = BLOCK + 64  # padding of a block's last word falls behind its values
+    starts = before - first[block] + block * room
+    out = np.zeros(blocks * room, dtype=np.uint64)
     out[starts[used == 0]] = exceptions
     for selector in range(1, len(SELECTORS)):
         k, b = SELECTORS[selector]
         which = np.flatnonzero(used == selector)
         if len(which):
-            places = starts[which, None] + np.arange(k)
-            parts = words[which, None] >> (np.arange(k, dtype=np.uint64) * np.uint64(b)) & np.uint64((1 << b) - 1)
-            inside = places < ends[which, None]
-            out[places[inside]] = parts[inside]
-    return out
+            at, word = starts[which], words[which]
+            for j in range(k):
+                out[at + j] = word >> np.uint64(j * b) & np.uint64((1 << b) - 1)
+    return out.reshape(blocks, room)[:, :BLOCK].reshape(-1)[:n]

@@ -7,6 +7,7 @@ text are those of its units, one after another. Units seen lately come from memo
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from array import array
@@ -50,18 +51,25 @@ def _byte_letters() -> list[str]:
 
 
 class _Known(dict):
-    """Ids of units, made when first asked for."""
+    """Ids of units, made when first asked for; the last KEPT_UNITS to twice as many are kept."""
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.make(unit)
+        ids = self.before.get(unit)
+        if ids is None:
+            ids = self.make(unit)
         if len(unit) <= LONGEST_UNIT:
             self[unit] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > KEPT_UNITS:
+            self.before = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Ids of texts as bytes (little-endian, 32 bits each)."""
@@ -70,36 +78,38 @@ class Encoder:
         self.units = (SPACED if spaced else BARE).findall
         self.tokenizer, self.lower = _tokenizer(path), not spaced
         self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
-        self.known, self.parts = _Known(self._unit), _Known(self._part)
+        self.known = _Known(self._unit)
 
     def _unit(self, unit: str) -> bytes:
-        """By parts: a word, and the marks after it."""
-        stem = unit.rstrip(MARKS)
-        if not stem or stem is unit or not stem[-1].isalpha():
-            return self.parts[self._folded(unit)]
-        return self.parts[self._folded(stem)] + self.parts[unit[len(stem) :]]
-
-    def _folded(self, part: str) -> str:
-        return part.lower() if self.lower and part.isascii() else part
-
-    def _part(self, part: str) -> bytes:
-        """A Latin word is one piece for the model, its cut and case being sure; else all steps run."""
-        word = part[1:] if part[0] == " " else part
-        if word.isascii() and word.isalpha() and not (self.lower and not word.islower()):
-            return array("I", [t.id for t in self.model.tokenize(self.letters[32] + word if word is not part else word)]).tobytes()
-        if word.isalpha() and max(word) < LATIN_END and not (self.lower and "\u0130" in word):
-            seen = (part.lower() if self.lower else part).encode().decode("latin-1").translate(self.letters)
-            return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
-        return array("I", self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids).tobytes()
+        """Marks after a letter apart; a Latin word goes straight to the model, its cut and case being sure."""
+        if unit[-1] in MARKS:
+            stem = unit.rstrip(MARKS)
+            if stem and stem[-1].isalpha():
+                return self.known[stem] + self.known[unit[len(stem) :]]
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha():
+            if word.isascii():
+                if self.lower and not word.islower():
+                    return self.known[word.lower()]
+                return self._model(word if word is unit else self.letters[32] + word)
+            if max(word) < LATIN_END and not (self.lower and "\u0130" in word):
+                seen = unit.lower() if self.lower else unit
+                return self._model(seen.encode().decode("latin-1").translate(self.letters))
+        return array("I", self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids).tobytes()
+
+    def _model(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
         units, known = self.units, self.known.__getitem__
-        for text in texts:
-            yield b"".join(map(known, units(text or "")))
-            for held in (self.known, self.parts):
-                if len(held) > KEPT_UNITS:
-                    held.clear()
+        gc.disable()  # there are no cycles to find, only millions of strings to look through
+        try:
+            for text in texts:
+                yield b"".join(map(known, units(text or "")))
+                self.known.age()
+        finally:
+            gc.enable()
 
 
 @functools.lru_cache(maxsize=2)
