@@ -246,7 +246,8 @@ def s2(v):
 
 def u4(v):
     rows = _previews(v).select("page_no", "card_pos", "external_id")
-    return pg.in_page_order(rows, ["page_no"]).select("page_no", "card_pos", "external_id", "place")
+    placed = pg.in_page_order(rows, ["page_no"])
+    return placed.select("external_id", F.col("place.page_no").alias("page_no"), F.col("place.card_pos").alias("card_pos"))
 
 
 def _with(body: str, extra: str = "") -> str:
@@ -382,7 +383,7 @@ FROM (SELECT c.*, y.slug, unnest(CASE WHEN y.slug IS NULL THEN [1] ELSE generate
     "U4_page_order": (
         u4,
         _with(
-            """SELECT page_no, card_pos, external_id, page_no * 1000000 + card_pos AS place FROM (
+            """SELECT page_no, card_pos, external_id FROM (
   SELECT l_orderkey AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY no) - 1 AS card_pos, CAST(id AS VARCHAR) AS external_id FROM cards)"""
         ),
     ),

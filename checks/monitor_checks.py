@@ -98,7 +98,7 @@ def _tables(v):
         F.col("p_partkey").alias("listing_id"),
         (F.lit("2024-02-01").cast("timestamp") - F.make_dt_interval(F.col("p_size") * 3)).alias("created_at"),
     )
-    fb = feedback(v).where(F.col("listing_id") % 3 == 0)
+    fb = feedback(v)
     return criteria, seen, listings, fb
 
 
@@ -107,7 +107,7 @@ PURGE_SQL = f"""
 , seen AS (SELECT user_id, listing_id, min(ts) AS first_seen_at FROM v_decisions WHERE op = 'purge' GROUP BY ALL),
 lst AS (SELECT p_partkey AS listing_id, TIMESTAMP '2024-02-01' - INTERVAL 1 DAY * (p_size * 3) AS created_at FROM part),
 gone AS (SELECT l.listing_id FROM lst l WHERE created_at < TIMESTAMP '{PURGE_AT}' - INTERVAL 90 DAY
-  AND NOT EXISTS (SELECT 1 FROM feedback f WHERE f.listing_id = l.listing_id AND f.listing_id % 3 = 0)),
+  AND NOT EXISTS (SELECT 1 FROM feedback f WHERE f.listing_id = l.listing_id)),
 recent AS (SELECT * FROM seen WHERE first_seen_at >= TIMESTAMP '{PURGE_AT}' - INTERVAL 30 DAY)
 """
 

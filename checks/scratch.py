@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared one; a temporary one without it."""
+    """A fresh folder under ``spark.checkpoint.dir``; without one only a local master gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/kvartal-{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"run-kvartal-{name}-")

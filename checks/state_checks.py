@@ -76,18 +76,16 @@ def e1(v):
 
 
 def e2(v):
-    ev = v.decisions.where(F.col("op").isin("save", "reject", "delete_saved"))
-    return st.trashed(st.feedback_state(ev)).select("user_id", "listing_id", text_ts("deleted_at"))
+    return st.trashed(feedback(v)).select("user_id", "listing_id", text_ts("deleted_at"))
 
 
 def e3(v):
-    ev = v.decisions.where(F.col("op").isin("save", "delete_saved", "restore"))
-    return st.feedback_state(ev).select("user_id", "listing_id", text_ts("decided_at"), text_ts("deleted_at"))
+    """Rows that were restored are live again; the whole log is folded."""
+    return feedback(v).select("user_id", "listing_id", text_ts("decided_at"), text_ts("deleted_at"))
 
 
 def e4(v):
-    ev = v.decisions.where(F.col("op").isin("reject", "restore"))
-    return st.active(st.feedback_state(ev), "rejected").select("user_id", "listing_id", text_ts("decided_at"))
+    return st.active(feedback(v), "rejected").select("user_id", "listing_id", text_ts("decided_at"))
 
 
 def e5(v):
@@ -268,7 +266,7 @@ def _criteria_rows(v):
 def s4(v):
     rows = _criteria_rows(v)
     old = rows.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
-    new = rows.where(F.col("o_orderstatus") == "O").drop("o_orderstatus")
+    new = rows.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
     return st.replace_criteria(old, new, ["created_at", "criteria_id"]).select(
         "criteria_id", "user_id", "max_price_kzt"
     )
@@ -320,10 +318,6 @@ KNOWN_EVENTS = """, known AS (SELECT d.user_id, d.listing_id * 25 AS listing_id,
 """
 
 
-def _subset(name: str, ops: str) -> str:
-    return f", {name} AS (SELECT * FROM v_decisions WHERE op IN ({ops}))\n"
-
-
 CHECKS = {
     "E1_save_reject_upsert": (
         e1,
@@ -344,21 +338,18 @@ FULL JOIN (SELECT user_id, listing_id, min(ts) AS at, 'page-' || min(seq) AS pag
         e2,
         fold_sql(
             f"SELECT user_id, listing_id, {sql_ts('deleted_at')} FROM feedback WHERE decision = 'saved' AND deleted_at IS NOT NULL",
-            events="part_ev", extra=_subset("part_ev", "'save', 'reject', 'delete_saved'"),
         ),
     ),
     "E3_restore": (
         e3,
         fold_sql(
             f"SELECT user_id, listing_id, {sql_ts('decided_at')}, {sql_ts('deleted_at')} FROM feedback",
-            events="part_ev", extra=_subset("part_ev", "'save', 'delete_saved', 'restore'"),
         ),
     ),
     "E4_unreject": (
         e4,
         fold_sql(
-            f"SELECT user_id, listing_id, {sql_ts('decided_at')} FROM feedback",
-            events="part_ev", extra=_subset("part_ev", "'reject', 'restore'"),
+            f"SELECT user_id, listing_id, {sql_ts('decided_at')} FROM feedback WHERE decision = 'rejected' AND deleted_at IS NULL",
         ),
     ),
     "E5_purge_forever": (
@@ -447,7 +438,7 @@ FROM (SELECT * FROM feedback JOIN v_decided_listings USING (listing_id) WHERE de
     "S7_listing_upsert": (s7, None),
     "S4_replace_criteria": (
         s4,
-        """WITH fresh AS (SELECT * FROM orders WHERE o_orderstatus = 'O'
+        """WITH fresh AS (SELECT * FROM orders WHERE o_orderstatus <> 'F'
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
 SELECT o_orderkey AS criteria_id, o_custkey AS user_id, CAST(floor(o_totalprice) AS BIGINT) AS max_price_kzt FROM fresh
 UNION ALL SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) FROM orders

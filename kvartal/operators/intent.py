@@ -11,7 +11,8 @@ from kvartal.functions.once import compute_once
 DEFAULT_DEAL = "sale"
 DEFAULT_PAGES = 3
 MAX_PAGES = 20
-WIDEST_ROOM_RANGE = 1000
+#: A list of rooms must fit in one row; what is wider can't be one.
+WIDEST_ROOM_RANGE = 1_000_000
 
 # Markers and word lists of the request language.
 RENT_MARKERS = ("аренд", "снят", "сним", "rent")
@@ -185,7 +186,7 @@ def _positive_set(numbers: Column) -> Column:
 def rooms(text: Column) -> Column:
     """Sorted room counts named in the text, null when none.
 
-    A range wider than a thousand rooms is no room range.
+    A range stands for all of its counts.
     """
     unit = r"(?:ком\w*|room\w*)"
     ranged = rf"(\d+)\s*(?:-|–)\s*(\d+)\s*{unit}"

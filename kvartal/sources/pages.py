@@ -21,7 +21,6 @@ PAGES = T.StructType(
         T.StructField("page_no", T.LongType()),
     ]
 )
-CARDS_PER_PAGE = 1_000_000
 
 
 def read(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -95,4 +94,4 @@ def crawl_plan(criteria: DataFrame, catalog: DataFrame, base_url: str) -> DataFr
 
 def in_page_order(rows: DataFrame, page: Sequence[str]) -> DataFrame:
     """``place``: cards of several pages in page order, without a global sort."""
-    return rows.withColumn("place", F.col(page[0]) * CARDS_PER_PAGE + F.col("card_pos"))
+    return rows.withColumn("place", F.struct(*page, "card_pos"))

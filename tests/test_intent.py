@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kvartal.operators import intent as it
 
@@ -68,3 +69,9 @@ def test_dialog_class(spark, text, has, want):
 
     df = spark.createDataFrame([(text, has)], "t string, has boolean")
     assert df.select(it.dialog_class("t", F.col("has"))).first()[0] == want
+
+
+def test_wide_room_ranges_keep_every_count(spark):
+    rows = spark.createDataFrame([("1-1500 комнат",), ("1-900 комнат",)], "message string")
+    got = [r.rooms for r in rows.select(it.rooms(F.col("message")).alias("rooms")).collect()]
+    assert got == [list(range(1, 1501)), list(range(1, 901))]
