@@ -32,7 +32,7 @@ from kvartal.llm.arrays import least_in_windows, mix, texts
 from kvartal.llm.shared import partitions, row_id
 
 #: Rows of a chunk: 2 ** CHUNK.
-CHUNK = 7
+CHUNK = 8
 #: Super-k-mers of one group at most, on average over salts.
 HOT = 1024
 #: Bytes of packed strings that are compared at once, but for a longer group.
@@ -147,7 +147,7 @@ def removed(
     ``most``: bytes of text that ``cut`` gets at once.
     """
     rows = chunked(docs)
-    n_buckets = 4 * partitions(docs.sparkSession)
+    n_buckets = 2 * partitions(docs.sparkSession)
 
     def asked(batches: Iterator) -> Iterator:
         now, held = None, []
