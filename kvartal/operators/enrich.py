@@ -52,7 +52,17 @@ def geocode(rows: DataFrame, points: DataFrame) -> DataFrame:
     one = keyed.groupBy("__city", "__address").agg(F.min(F.struct("lat", "lon")).alias("__p"))
     one = one.select("__city", "__address", "__p.lat", "__p.lon")
     marked = rows.withColumns({"__city": place_key("city"), "__address": place_key("address")})
-    return marked.join(one, ["__city", "__address"], "left").drop("__city", "__address")
+    return _left_join(marked, one, ["__city", "__address"]).drop("__city", "__address")
+
+
+def _left_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which rows without a key pass by, not all through one task."""
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    found = rows.where(known).join(table, keys, "left")
+    rest = rows.where(~known).withColumns({f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields if f.name not in keys})
+    return found.unionByName(rest)
 
 
 def nearby(
@@ -103,7 +113,7 @@ def with_nearby(listings: DataFrame, points: DataFrame, pois: DataFrame, radius_
             for source in ("places", "nearest_m")
         ]
     )
-    out = located.join(wide, ["lat", "lon"], "left")
+    out = _left_join(located, wide, ["lat", "lon"])
     known = F.col("lat").isNotNull()
     plural = {"school": "nearby_schools", "park": "nearby_parks", "metro": "nearby_metro"}
     columns: dict[str, Column] = {}

@@ -26,7 +26,8 @@ OWNER_MARKERS = (
 )
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 MONEY_UNIT = r"(?:млн|миллион\w*|m)|(?:тыс\w*|k)|(?:тг|тенге|₸)"
-AREA_UNIT = r"(?:м2|м²|m2)"
+AREA_WORDS = ("м2", "м²", "m2")
+AREA_UNIT = rf"(?:{'|'.join(AREA_WORDS)})"
 ROOM_WORDS = {
     "одно": 1, "двух": 2, "трех": 3, "трёх": 3, "четырех": 4, "четырёх": 4, "пяти": 5, "шести": 6,
 }
@@ -102,15 +103,21 @@ def with_price_bounds(rows: DataFrame, text: str) -> DataFrame:
 
     A range, else min and max words, else a single value as the maximum. The
     first bound of a range may lack a unit and takes that of the second. Each
-    step is a column of its own, so a pattern runs once per text.
+    step is a column of its own, so a pattern runs once per text; the patterns of
+    bounds only run on texts that hold a number with a unit.
     """
+    no_values = F.array().cast("array<string>")
+    digit = F.col(text).rlike(r"(?U)\d")
+    rows = compute_once(
+        rows, {"__values": F.when(digit, tx.all_matches(text, PRICE_VALUE, 0)).otherwise(F.when(F.col(text).isNotNull(), no_values))}
+    )
+    some = F.size("__values") > 0
     rows = compute_once(
         rows,
         {
-            "__range": tx.first_match(text, PRICE_RANGE, 0),
-            "__min": tx.first_match(text, PRICE_MIN, 0),
-            "__max": tx.first_match(text, PRICE_MAX, 0),
-            "__values": tx.all_matches(text, PRICE_VALUE, 0),
+            "__range": F.when(some, tx.first_match(text, PRICE_RANGE, 0)),
+            "__min": F.when(some, tx.first_match(text, PRICE_MIN, 0)),
+            "__max": F.when(some, tx.first_match(text, PRICE_MAX, 0)),
         },
     )
 
@@ -142,13 +149,19 @@ def with_price_bounds(rows: DataFrame, text: str) -> DataFrame:
 
 
 def with_area_bounds(rows: DataFrame, text: str) -> DataFrame:
+    """min_area_m2 and max_area_m2; the patterns only run on texts that name a unit of area."""
+    named = tx.contains_any(F.lower(F.col(text)), AREA_WORDS)
+
+    def number(pattern: str, group: int) -> Column:
+        return F.when(named, tx.decimal_text(tx.first_match(text, pattern, group)))
+
     rows = compute_once(
         rows,
         {
-            "__low": tx.decimal_text(tx.first_match(text, AREA_RANGE, 1)),
-            "__high": tx.decimal_text(tx.first_match(text, AREA_RANGE, 2)),
-            "__floor": tx.decimal_text(tx.first_match(text, AREA_MIN, 1)),
-            "__cap": tx.decimal_text(tx.first_match(text, AREA_MAX, 1)),
+            "__low": number(AREA_RANGE, 1),
+            "__high": number(AREA_RANGE, 2),
+            "__floor": number(AREA_MIN, 1),
+            "__cap": number(AREA_MAX, 1),
         },
     )
     return _settle(rows, "min_area_m2", "max_area_m2")
