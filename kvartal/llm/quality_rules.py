@@ -31,7 +31,9 @@ SYMBOLS = "[#*$%&|<>]"
 
 
 def _line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, f"{BLANK_CLASS}+", " "), F.lit(BLANKS))))
+    """64 bits of MD5 over the normalised line, as hexadecimal digits."""
+    normal = F.lower(F.btrim(F.regexp_replace(line, f"{BLANK_CLASS}+", " "), F.lit(BLANKS)))
+    return F.substring(F.md5(normal.cast("binary")), 1, 16)
 
 
 def _has_word(line: Column) -> Column:
