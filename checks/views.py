@@ -444,3 +444,9 @@ def sql(body: str, *names: str, recursive: bool = False) -> str:
     if body.upper().startswith("WITH "):
         return f"{word} {head},\n{body[5:]}"
     return f"{word} {head}\n{body}"
+
+
+def crawled(v: Views) -> DataFrame:
+    """Listings as if extracted: district labels in Russian, as the cards give them."""
+    label = F.create_map(F.lit("A"), F.lit("Аистовский р-н"), F.lit("N"), F.lit("Новский р-н"), F.lit("R"), F.lit("Речной р-н"))
+    return v.listings.drop("district_key").withColumn("district", F.element_at(label, F.col("district")))
