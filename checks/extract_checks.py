@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.state_checks import text_ts
-from checks.views import NOW, Views, now, sql
+from checks.views import Views, now, sql
 from kvartal.functions import html as h
 from kvartal.functions import listing_text as lt
 from kvartal.functions import text as tx

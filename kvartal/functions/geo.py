@@ -1,4 +1,8 @@
-"""Distances and grid cells on the sphere."""
+"""Distances and grid cells on the sphere.
+
+The cells hold for places up to 89 degrees of latitude (for radii of some
+kilometres) that don't lie on both sides of the 180th meridian; distances hold everywhere.
+"""
 
 from __future__ import annotations
 

@@ -130,17 +130,29 @@ def photos(html: Column | str) -> Column:
 def published_at(
     html: Column | str, time_attr: Column | str, test_attr: Column | str, text: Column | str
 ) -> Column:
-    """Original post date, else last bump, else mark-up, else a dotted date."""
-    day = F.lit("yyyy-MM-dd")
+    """Original post date, else last bump, else mark-up, else a dotted date.
+
+    What names no zone is UTC, whatever the session's time zone.
+    """
     return F.coalesce(
-        F.try_to_timestamp(tx.first_match(html, CREATED_AT, flags=tx.EXACT), day),
-        F.try_to_timestamp(tx.first_match(html, ADDED_AT, flags=tx.EXACT), day),
-        F.try_to_timestamp(tx.col(time_attr)),
-        F.try_to_timestamp(tx.col(test_attr)),
-        F.try_to_timestamp(tx.first_match(text, DATE_DOTTED, flags=tx.EXACT), F.lit("dd.MM.yyyy")),
+        _utc_day(tx.first_match(html, CREATED_AT, flags=tx.EXACT), "yyyy-MM-dd"),
+        _utc_day(tx.first_match(html, ADDED_AT, flags=tx.EXACT), "yyyy-MM-dd"),
+        _utc_time(tx.col(time_attr)),
+        _utc_time(tx.col(test_attr)),
+        _utc_day(tx.first_match(text, DATE_DOTTED, flags=tx.EXACT), "dd.MM.yyyy"),
     )
 
 
+def _utc_day(day: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(F.concat(day, F.lit(" +00:00")), F.lit(pattern + " XXX"))
+
+
+def _utc_time(value: Column) -> Column:
+    full = F.when(value.rlike(r"\d{2}:\d{2}"), value).otherwise(F.concat(value, F.lit("T00:00:00")))
+    zoned = full.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned, full).otherwise(F.concat(full, F.lit("Z"))))
+
+
 def market_diff(html: Column | str) -> Column:
     """Signed percent against the city market; cheaper is negative."""
     value = tx.decimal_text(tx.first_match(html, MARKET_DIFF, 1))

@@ -26,10 +26,14 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 def write(df: DataFrame, root: str) -> int:
     """Write the next version. A reader sees it only once it is complete, and the
-    frame may itself be derived from the version it replaces."""
+    frame may itself be derived from the version it replaces. Two writers never get
+    the same number: it is claimed by a file that only one of them can create."""
     spark = df.sparkSession
     known = versions(spark, root)
     version = (known[-1] if known else 0) + 1
+    fs = _path(spark, root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not fs.createNewFile(_path(spark, f"{root}/_claim-{version}")):
+        version += 1
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
     return version
 

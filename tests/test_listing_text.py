@@ -78,3 +78,17 @@ def test_days_on_market(spark):
     )
     now = F.lit("2026-01-10 23:00:00").cast("timestamp")
     assert [r[0] for r in df.select(money.days_on_market("p", now)).collect()] == [9, 0, None]
+
+
+def test_dates_without_a_zone_are_utc_in_any_session(spark):
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    page = '"createdAt":"2024-07-11"'
+    rows = [(page, None), ("", "2024-07-11T00:00:00"), ("", "2024-07-11"), ("", "2024-07-11T05:00:00+05:00")]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Almaty")
+        df = spark.createDataFrame(rows, "html string, attr string")
+        at = lt.published_at("html", "attr", F.lit(None).cast("string"), F.lit(None).cast("string"))
+        got = [r.s for r in df.select(F.unix_seconds(at).alias("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    assert got == [1720656000] * 4
