@@ -144,27 +144,29 @@ def flats(
     The site filters come first; then the clones inside one user's result collapse to
     the cheapest, at the place of the first; then the district of what is left counts.
     So a flat that an agent and its owner post is the owner's for a user who wants
-    owners only. Pairs are narrow until the cut: payload is joined afterwards
-    (``with_listing``). ``flat`` identifies the flat across its clones.
+    owners only. Pairs are narrow until the cut, and those of flats posted once are
+    never shuffled before it: payload is joined afterwards (``with_listing``). ``flat`` identifies the flat across its clones.
     """
     rest = ["external_id", "city", "deal_type", "rent_period", "price_kzt", "rooms", "area_m2", "posted_by", "district_key"]
     own = F.concat(F.lit("id "), "external_id")
     narrow = listings.select(
         *rest, F.struct(*order).alias("place"), F.coalesce(F.to_json(fingerprint()), own).alias("flat")
     )
-    pairs = match(criteria, narrow, any_district=True).select(
-        "user_id",
-        "flat",
-        "place",
-        F.struct(
-            F.col("price_kzt").isNull().alias("no_price"), "price_kzt", F.col("place").alias("at"), "external_id",
-            _district_verdict().alias("district"),
-        ).alias("row"),
+    # most flats are posted once: their pairs need no collapse and go straight to the cut
+    again = narrow.groupBy("city", "deal_type", "flat").count().where("count > 1").select("city", "deal_type", "flat", F.lit(True).alias("again"))
+    marked = narrow.join(again, ["city", "deal_type", "flat"], "left")
+    single = match(criteria, marked.where(F.col("again").isNull()), any_district=True).select(
+        "user_id", "external_id", "place", "flat", _district_verdict().alias("district")
     )
-    merged = pairs.groupBy("user_id", "flat").agg(F.min("row").alias("row"), F.min("place").alias("place"))
-    district = F.col("row.district")
-    fit = district == "match" if strict_district else district != "mismatch"
-    return merged.where(fit).select("user_id", F.col("row.external_id").alias("external_id"), "place", "flat")
+    best = F.struct(
+        F.col("price_kzt").isNull().alias("no_price"), "price_kzt", F.col("place").alias("at"), "external_id",
+        _district_verdict().alias("district"),
+    ).alias("row")
+    clones = match(criteria, marked.where("again"), any_district=True).select("user_id", "flat", "place", best)
+    merged = clones.groupBy("user_id", "flat").agg(F.min("row").alias("row"), F.min("place").alias("place"))
+    rows = single.unionByName(merged.select("user_id", "row.external_id", "place", "flat", "row.district"))
+    fit = F.col("district") == "match" if strict_district else F.col("district") != "mismatch"
+    return rows.where(fit).drop("district")
 
 
 def with_listing(rows: DataFrame, listings: DataFrame) -> DataFrame:
