@@ -27,14 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvartal.llm.shared import written
+from kvartal.llm.shared import partitions, written
 
 TOP = 20
 EVERY = 20
-SAMPLE, BRANCHES, LEAF = 20_000, 8, 48
-CALIBRATION, TARGET = 256, 0.96
-#: Vectors, and queries, of a leaf that meet in one task.
-BLOCK = 4096
+SAMPLE, BRANCHES, LEAF = 4096, 8, 64
+CALIBRATION, TARGET = 256, 0.93
+#: Vectors, and visits of queries, that meet in one task.
+BLOCK = 16_384
+#: Queries that travel together.
+PACK = 256
+#: Groups of leaves; a query gets one list of its best from each.
+GROUPS = 16
 FOUND = "query long, vec_id long, score double"
 
 
@@ -194,15 +198,30 @@ def calibrate(tree: Tree, vectors: DataFrame, queries: list[tuple[int, list[floa
 
 
 def _search(left, right):
+    """Best vectors of a block for each query, over those leaves of it that the query visits."""
     import pyarrow as pa
 
-    out: list[tuple[int, int, float]] = []
+    best: dict[int, list[tuple[float, int]]] = {}
     if left.num_rows and right.num_rows:
-        vectors, ids = _matrix(right.column("v")), right.column("ids").to_pylist()
-        queries, names = _matrix(left.column("v")), left.column("query").to_pylist()
-        for k in range(0, len(names), 512):
-            for name, row in zip(names[k : k + 512], queries[k : k + 512] @ vectors.T, strict=True):
-                out += [(name, i, s) for s, i in _best(row, ids, TOP + 1)]
+        leaf_of, every_id = right.column("leaf").to_numpy(), right.column("ids").to_pylist()
+        every_vector = _matrix(right.column("v"))
+        packed: dict[int, list[tuple[bytes, bytes]]] = {}
+        for leaf, names, queries in zip(*(left.column(c).to_pylist() for c in ("leaf", "names", "queries")), strict=True):
+            packed.setdefault(leaf, []).append((names, queries))
+        for leaf, parts in packed.items():
+            rows = np.flatnonzero(leaf_of == leaf)
+            if not len(rows):
+                continue
+            vectors, ids = every_vector[rows], [every_id[k] for k in rows.tolist()]
+            for raw_names, raw in parts:
+                names = np.frombuffer(raw_names, np.int64).tolist()
+                scores = np.frombuffer(raw).reshape(len(names), -1) @ vectors.T
+                for name, most, row in zip(names, scores.max(axis=1).tolist(), scores, strict=True):
+                    have = best.get(name, [])
+                    if len(have) <= TOP or most >= have[-1][0]:
+                        found = sorted([*have, *_best(row, ids, TOP + 1)], key=lambda f: (-f[0], f[1]))
+                        best[name] = found[: TOP + 1]
+    out = [(name, i, s) for name, found in best.items() for s, i in found]
     columns = zip(*out, strict=True) if out else ((), (), ())
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "vec_id", "score"])
 
@@ -235,28 +254,46 @@ def nearest(table: DataFrame, every: int = EVERY, target: float = TARGET) -> Dat
     counts = placed.groupBy("leaf").count()  # a row per leaf, whose number SAMPLE bounds
     sizes = {r["leaf"]: r["count"] for r in counts.collect()}
 
+    parts = partitions(table.sparkSession)
+
     def visit(batches: Iterator) -> Iterator:
+        """Queries packed by the leaf that they visit, PACK at a time."""
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaves = [tree.visits(np.append(v, 0.0), most, sizes) for v in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=["query", "v", "leaves"])
+            for k in range(0, batch.num_rows, PACK):
+                names, x = batch.column(0)[k : k + PACK].to_numpy(), _matrix(batch.column(1)[k : k + PACK])
+                by_leaf: dict[int, list[int]] = {}
+                for j, v in enumerate(x):
+                    for leaf in tree.visits(np.append(v, 0.0), most, sizes):
+                        by_leaf.setdefault(leaf, []).append(j)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "leaf": pa.array(list(by_leaf), pa.int32()),
+                        "pack": pa.array([int(names[0])] * len(by_leaf), pa.int64()),
+                        "n": pa.array([len(r) for r in by_leaf.values()], pa.int32()),
+                        "names": pa.array([names[r].tobytes() for r in by_leaf.values()], pa.binary()),
+                        "queries": pa.array([x[r].tobytes() for r in by_leaf.values()], pa.binary()),
+                    }
+                )
 
     visits = written(
-        queries.mapInArrow(visit, "query long, v array<double>, leaves array<int>").select("query", "v", F.explode("leaves").alias("leaf")), "visits"
+        queries.repartition(parts).mapInArrow(visit, "leaf int, pack long, n int, names binary, queries binary"), "visits"
     )
-    blocks = counts.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("x_blocks"))
-    asked = visits.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
-    plan = F.broadcast(written(blocks.join(asked, "leaf"), "plan"))
-    left = visits.join(plan, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("query"), "q_blocks").alias("a"), F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("b"), "query", "v"
+    # leaves go to tasks in groups, so that a task reports one list per query; large groups are
+    # cut into blocks of vectors and of queries, a pack's visits staying together
+    group = (F.col("leaf") % GROUPS).alias("g")
+    per_group = lambda rows, n, name: rows.groupBy(group).agg(F.ceil(n / BLOCK).cast("int").alias(name))
+    plan = per_group(counts, F.sum("count"), "x_blocks").join(per_group(visits, F.sum("n"), "q_blocks"), "g")
+    plan = F.broadcast(written(plan, "plan"))
+    left = visits.withColumn("g", group).join(plan, "g").select(
+        "g", F.pmod(F.xxhash64("pack"), "q_blocks").alias("a"), F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("b"), "leaf", "names", "queries"
     )
-    right = placed.join(plan, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_blocks").cast("bigint") - 1)).alias("a"), F.pmod(F.xxhash64("id"), "x_blocks").cast("int").alias("b"), "ids", "v"
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_blocks").cast("bigint") - 1)).alias("a")
+    right = placed.withColumn("g", group).join(plan, "g").select(
+        "g", blocks, F.pmod(F.xxhash64("id"), "x_blocks").cast("int").alias("b"), "leaf", "ids", "v"
     )
-    key = ("leaf", "a", "b")
+    key = ("g", "a", "b")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= TOP + 1)
