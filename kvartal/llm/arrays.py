@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text worked on at once, but for a longer single text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
