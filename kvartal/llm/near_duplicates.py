@@ -9,8 +9,8 @@
    signatures agree enough is checked on the full sets. Large keys are dealt out as
    pairs of blocks. A task reports a spanning forest at most, not all pairs.
 So no link that a band key can show is lost, whatever the group's size. At a
-similarity of 0.75 a pair shares no band key with a chance of 5e-6 (16 rows short of
-signature agreement: 4e-7).
+similarity of 0.75 a pair shares no band key with a chance of 5e-6, and falls short of
+AGREE with one of 4e-7.
 
 Defined results: texts without words, empty or null, have the empty set and link with
 nothing; shorter texts than five words are one shingle; repeated rows are linked; a
