@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kvartal.llm.arrays import Words, mix, texts, windows
 from kvartal.llm.components import components
-from kvartal.llm.shared import row_id, written
+from kvartal.llm.shared import bounded_batches, row_id, written
 
 WORDS = 5
 #: Links have 100 * intersection >= SIMILAR * union.
@@ -184,6 +184,7 @@ def classify(docs: DataFrame) -> DataFrame:
     kept marks one row of each component: that of its smallest doc_id (of repeated rows
     with one doc_id, the first).
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(row_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = written(rows.mapInArrow(_sketch, SETS), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")

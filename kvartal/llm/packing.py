@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from kvartal.llm import tokens
+from kvartal.llm.shared import bounded_batches
 
 LIMIT = 4096
 END = 2
@@ -48,6 +49,7 @@ def pieces(docs: DataFrame, path: str | None = None, end: int = END, limit: int
     """A row per piece with its ids (little-endian, 32 bits); ``limit`` is a power of two."""
     if limit & (limit - 1) or limit <= 0:
         raise ValueError("limit must be a power of two")
+    bounded_batches(docs.sparkSession)
     vocabulary = path or tokens.default_path(VOCABULARY)
 
     def run(batches: Iterator) -> Iterator:

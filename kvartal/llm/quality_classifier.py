@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvartal.llm.arrays import Words, mix, texts, windows
+from kvartal.llm.shared import bounded_batches
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -200,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     A document with several labels counts for each; the sample's statistics (24 numbers a
     row) are what comes to the driver.
     """
+    bounded_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")
     chosen = usable.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -213,6 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """``docs`` with the column score, from 0 to 1; other columns pass through."""
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != "score"), T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema.fields[:-1]]
     at = names.index("text")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.llm.arrays import least_in_windows, mix, texts
-from kvartal.llm.shared import partitions, row_id
+from kvartal.llm.shared import bounded_batches, partitions, row_id
 
 #: Rows of a chunk: 2 ** CHUNK.
 CHUNK = 8
@@ -146,6 +146,7 @@ def removed(
     tells which go. ``finish`` gets a chunk's documents and spans of windows by row.
     ``most``: bytes of text that ``cut`` gets at once.
     """
+    bounded_batches(docs.sparkSession)
     rows = chunked(docs)
     n_buckets = 2 * partitions(docs.sparkSession)
 

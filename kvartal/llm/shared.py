@@ -50,5 +50,18 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Batches that go to Python hold ``most`` bytes, so long texts don't add up in a worker.
+
+    A setting of the session, lowered where it is higher; no result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = int(now[:-1]) * units[now[-1]] if now[-1] in units else int(now)
+    if not 0 < size <= most:
+        spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
