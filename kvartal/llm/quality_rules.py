@@ -4,10 +4,10 @@ Each non-empty line is normalised (lower case, white space collapsed) and hashed
 every (host, line) the distinct documents are counted; a line above the limit is
 removed, and a document that keeps too small a share of its words is rejected.
 
-Copies of one document are one document here: for a line, documents are told apart by
-the least hash of their other lines. So a page that was crawled a thousand times isn't
-taken for boilerplate (finding copies is the work of near-dedup), while a banner on a
-thousand different pages is.
+Copies of one document are one document here: documents are told apart by a digest of
+their whole set of lines. So a page that was crawled a thousand times isn't taken for
+boilerplate (finding copies is the work of near-dedup), while a banner on a thousand
+different pages is, however many lines these pages share.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host
 is a host of its own; repeated rows are rows of their own with equal results; an empty
@@ -74,7 +74,7 @@ def with_repeated_words(rows: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One narrow row per document: base statistics and its lines as (hash, words)."""
+    """One narrow row per document: base statistics, its lines as (hash, words), and 128 bits of the set of lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         row_id().alias("row"),
@@ -98,18 +98,18 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
             "lines", lambda x: F.struct(_line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))
         ).alias("lines"),
     )
-    return base.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"]))), 1, 2))
+    hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
+    return base.withColumn("content", F.unhex(F.md5(F.array_join(hashes, "").cast("binary"))))
 
 
 def frequent_lines(stats: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, h) of lines that more than ``max_docs`` distinct documents of the host hold.
 
-    Both counts combine inside the map tasks first, so a line of a third of all
-    documents arrives as a few rows.
+    Both counts combine inside the map tasks first. A line of a third of all documents is
+    dealt out by their digests, so its counts arrive as a few rows.
     """
-    lines = stats.select("host", "least", F.explode("lines").alias("line")).select("host", "least", "line.h")
-    others = F.when(F.col("h") == F.get("least", F.lit(0)), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
-    each = lines.groupBy("host", "h", others.alias("others")).agg(F.lit(1).alias("one"))
+    lines = stats.select("host", "content", F.explode("lines").alias("line")).select("host", "content", "line.h")
+    each = lines.groupBy("host", "h", "content").agg(F.lit(1).alias("one"))
     return each.groupBy("host", "h").agg(F.count("one").alias("docs")).where(F.col("docs") > max_docs)
 
 
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_l
             F.collect_list("h").alias("removed"),
         )
     )
-    joined = stats.drop("lines", "least").join(removed, "row", "left")
+    joined = stats.drop("lines", "content").join(removed, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return joined.select(

@@ -77,6 +77,17 @@ def test_copies_are_one_document(stored):
     assert all(r.kept and r.n_removed_lines == 0 for r in got)
 
 
+def test_pages_of_many_shared_and_few_own_lines(stored):
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(12))
+    shared = [line() for _ in range(20)]
+    texts = ["\n".join([*shared, line()]) for _ in range(31)]
+    texts += ["\n".join([*texts[0].split("\n")[:20], line()])] * 5  # copies: one more document
+    docs = stored(texts, source=F.lit("one"))
+    assert {r.n_removed_lines for r in Q.judge(docs, max_docs=31).collect()} == {20}
+    assert {r.n_removed_lines for r in Q.judge(docs, max_docs=32).collect()} == {0}
+
+
 def test_empty_table(stored):
     docs = stored(["a"]).where("false")
     assert Q.judge(docs).count() == 0 and Q.apply(docs).columns == docs.columns
