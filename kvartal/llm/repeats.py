@@ -11,9 +11,9 @@ have equal minimisers, so they meet in the bucket of that minimiser:
 4. ``match``: in a bucket, ``judge`` compares windows and finds those to remove.
 5. Spans go back to the chunks, where ``finish`` applies them.
 
-A minimiser with more super-k-mers than HOT is dealt out over salts. Each salted group
-settles what it can see and sends one digest per distinct window on; digests meet by
-value (``_settled``), at most one per salt. So no task holds a hot group.
+A minimiser with more super-k-mers than HOT is dealt out over salts. Each salted group,
+judged alone, settles what it can see and sends one digest per distinct window on;
+digests meet by value (``settled``), at most one per salt. So no task holds a hot group.
 
 Texts are shuffled once, by chunk; the second use reads the same shuffle files. Rows are
 known by their number, so ``docs`` must be a stored table.
@@ -311,7 +311,11 @@ def _spans(row: np.ndarray, window: np.ndarray) -> dict:
 
 
 def _groups(batches: Iterator, salted: bool = False) -> Iterator[Group]:
-    """Whole groups of sorted rows, some BUFFER bytes at once; ``salted``: only dealt-out ones."""
+    """Whole groups of sorted rows, some BUFFER bytes at once; ``salted``: only dealt-out ones.
+
+    A salted group always comes alone. What it removes and what it sends is decided in two
+    passes, and must not depend on which other salts of its minimiser lie nearby.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -326,9 +330,15 @@ def _groups(batches: Iterator, salted: bool = False) -> Iterator[Group]:
         key, salt = table.column(0).to_numpy(), table.column(1).to_numpy()
         change = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
         bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(5)).to_numpy())])
+        before = bytes_before[change]
+        alone = change[(salt[change] >= 0) | (salt[change - 1] >= 0)]
         start = 0
-        while len(change) and bytes_before[change[-1]] - bytes_before[start] >= BUFFER:
-            stop = int(change[np.searchsorted(bytes_before[change], bytes_before[start] + BUFFER)])
+        while True:
+            full = change[np.searchsorted(before, bytes_before[start] + BUFFER) :][:1]
+            edge = alone[np.searchsorted(alone, start, side="right") :][:1]
+            if not len(full) and not len(edge):
+                break
+            stop = int(min(*full, *edge) if len(full) and len(edge) else (full if len(full) else edge)[0])
             yield _group(table.slice(start, stop - start))
             start = stop
         rest = table.slice(start)

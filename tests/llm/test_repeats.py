@@ -71,6 +71,41 @@ def test_bytes(stored, monkeypatch, hot):
     assert got == bytes_brute(texts, ids) and sum(g[1] for g in got) > 5000
 
 
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_twins_in_two_salts(monkeypatch, op):
+    """Both passes over one partition, with unsalted groups that shift the buffers of the first."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "BUFFER", 2000)
+    rng = random.Random(13)
+    one = lambda: " ".join(prose(rng, 40, 5000).split()).encode()
+    for lead in range(12):
+        twin = one()
+        rows = [(1, -1, one()) for _ in range(lead)] + [(2, s, t) for s in range(6) for t in (one(), twin)] + [(3, -1, one())]
+        batch = pa.table({
+            "least": pa.array([r[0] for r in rows], pa.int64()), "salt": pa.array([r[1] for r in rows], pa.int32()),
+            "row": pa.array(range(len(rows)), pa.int64()), "doc_id": pa.array(range(len(rows)), pa.int64()),
+            "first": pa.array([0] * len(rows), pa.int64()), "packed": pa.array([r[2] for r in rows], pa.binary()),
+        }).combine_chunks().to_batches()[0]
+        for size in (len(rows), 3):  # however Arrow cuts the partition
+            batches = [batch.slice(k, size) for k in range(0, len(rows), size)]
+            gone, sent = set(), []
+            for group in repeats._groups(iter(batches)):
+                v = op.judge(group)
+                gone |= {(int(group.row[v.string[i]]), int(v.place[i])) for i in v.gone}
+            for group in repeats._groups(iter(batches), salted=True):
+                v = op.judge(group)
+                sent += [(*d, group.order[v.string[i]], group.row[v.string[i]], v.place[i], m) for i, d, m in zip(v.sent, v.digest.tolist(), v.met, strict=True)]
+            sent.sort(key=lambda x: x[:2])
+            number = np.cumsum([0] + [a[:2] != b[:2] for a, b in zip(sent, sent[1:], strict=False)])
+            settled = op.settle(number, np.array([x[2:5] for x in sent], np.int64), np.array([x[5] for x in sent], bool))
+            gone |= {(int(sent[i][3]), int(sent[i][4])) for i in settled}
+            twins = [i for i, r in enumerate(rows) if r[2] == twin]
+            assert {row for row, _ in gone} == set(twins if op is substring_dedup else twins[1:])
+            windows = 6 if op is substring_dedup else len(twin) - 99
+            assert len(gone) == windows * len({row for row, _ in gone})
+
+
 def test_repeated_rows_and_null_ids(stored):
     text = prose(random.Random(8), 80, 5000)
     docs = stored([text] * 4 + [None], [1, 1, None, None, None])
