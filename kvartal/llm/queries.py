@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvartal.llm import (
+    golay_simhash,
     kmeans_tree,
     near_duplicates,
     oracles,
@@ -81,6 +82,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.classify(_documents(spark, sf_dir)).drop("row")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_word_bpe": op8_word_bpe,
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_golay_simhash": op11_golay_simhash,
 }
 
 #: Splitters, token ids, trained scores and calibrated search have no SQL form; tests compare them with brute force.

@@ -50,6 +50,14 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that is no column of ``df`` (Spark compares without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Batches that go to Python hold ``most`` bytes, so long texts don't add up in a worker.
 
