@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kvartal.llm import near_duplicates, quality_rules, substring_dedup, suffix_dedup
+from kvartal.llm import near_duplicates, quality_rules, spelling_trie, substring_dedup, suffix_dedup
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -74,9 +74,34 @@ SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
   sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN parts p ON p.doc_id = d.doc_id"""
 
+_LONG = spelling_trie.MIN_LENGTH
+#: crc32 byte by byte; near words share what is left without one letter.
+SPELLING = rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+    translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{{_LONG},}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents) GROUP BY 1, 2),
+drawn AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(0, length(x) // 2),
+      lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM (SELECT *, hex(encode(doc || ':' || run)) AS x FROM runs), crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % {spelling_trie.DRAWN} = 0
+    THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM drawn)
+  WHERE length(word) >= {_LONG} GROUP BY 1 HAVING sum(n) >= {spelling_trie.MIN_COUNT}),
+less AS (SELECT word, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT x.word, y.word AS other FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.size = y.size AND x.word <> y.word
+  UNION SELECT less.word, w.word FROM less JOIN words w ON w.word = rest UNION SELECT w.word, less.word FROM less JOIN words w ON w.word = rest),
+best AS (SELECT near.word, count(*) AS n_near, min(struct_pack(less := -w.n, other := other)) AS b FROM near JOIN words w ON w.word = other GROUP BY 1),
+forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= {spelling_trie.TIMES} * n THEN b.other END AS form,
+    CASE WHEN -b.less >= {spelling_trie.TIMES} * n THEN -b.less END AS form_n FROM words LEFT JOIN best ON best.word = words.word),
+walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = walk.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.at AND e.form IS NULL"""
+
 SQL = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op10_suffix_dedup": SUFFIX_DEDUP,
+    "op13_spelling_trie": SPELLING,
 }

@@ -14,6 +14,7 @@ from kvartal.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    spelling_trie,
     substring_dedup,
     suffix_dedup,
     token_files,
@@ -86,6 +87,10 @@ def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.classify(_documents(spark, sf_dir)).drop("row")
 
 
+def op13_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.classify(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -98,6 +103,7 @@ QUERIES = {
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_golay_simhash": op11_golay_simhash,
+    "op13_spelling_trie": op13_spelling_trie,
 }
 
 #: Splitters, token ids, trained scores and calibrated search have no SQL form; tests compare them with brute force.
