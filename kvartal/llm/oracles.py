@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kvartal.llm import near_duplicates, quality_rules, spelling_trie, substring_dedup, suffix_dedup
+from kvartal.llm import near_duplicates, quality_rules, spelling_trie, substring_dedup, suffix_dedup, threshold_negatives
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -98,10 +98,23 @@ walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, form FRO
 SELECT f.word, f.form, w.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
 FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.at AND e.form IS NULL"""
 
+_FEW = threshold_negatives.POSITIVES
+NEGATIVES = f"""WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % {threshold_negatives.EVERY} = 0 AND a.vec_id <> b.vec_id),
+positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {_FEW})
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND {threshold_negatives.SHARE} * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= {threshold_negatives.NEGATIVES}"""
+
 SQL = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op10_suffix_dedup": SUFFIX_DEDUP,
+    "op12_threshold_negatives": NEGATIVES,
     "op13_spelling_trie": SPELLING,
 }

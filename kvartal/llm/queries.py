@@ -17,6 +17,7 @@ from kvartal.llm import (
     spelling_trie,
     substring_dedup,
     suffix_dedup,
+    threshold_negatives,
     token_files,
     word_bpe,
 )
@@ -87,6 +88,12 @@ def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.classify(_documents(spark, sf_dir)).drop("row")
 
 
+def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return threshold_negatives.mine(threshold_negatives.prepared(table.withColumn("label", wrong)))
+
+
 def op13_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_trie.classify(_documents(spark, sf_dir))
 
@@ -103,6 +110,7 @@ QUERIES = {
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_golay_simhash": op11_golay_simhash,
+    "op12_threshold_negatives": op12_threshold_negatives,
     "op13_spelling_trie": op13_spelling_trie,
 }
 
