@@ -1,7 +1,9 @@
 """Token ids of whole texts with a public tokenizer, each distinct word encoded once per worker.
 
 A text is cut into units at white space, where the tokenizer cuts as well; the ids of a
-text are those of its units, one after another. Units seen lately come from memory.
+text are those of its units, one after another. Units seen lately come from memory. A text
+that holds the string of a special token goes to the tokenizer whole, which then gives
+that token, as the library does by default.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BARE = re.compile("[^ \\t\\n\\r]+")
 #: Units kept per worker; longer ones are encoded each time.
 KEPT_UNITS, LONGEST_UNIT = 400_000, 48
-#: A run of these at a unit's end, after a letter, is encoded apart from it.
+#: A run of these at a unit's end, after a Latin letter, is encoded apart from it.
 MARKS = ".,!?;:*$%&#|)"
-#: Letters below this code point are composed already and lower-cased one by one.
-LATIN_END = "\u0250"
+#: Letters below this code point are composed already and lower-cased one by one, but for
+#: DOTTED, whose lower case ends in a mark.
+LATIN_END, DOTTED = "\u0250", "\u0130"
 
 
 def default_path(name: str) -> str:
@@ -38,9 +41,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> list[str]:
@@ -78,13 +79,14 @@ class Encoder:
         self.units = (SPACED if spaced else BARE).findall
         self.tokenizer, self.lower = _tokenizer(path), not spaced
         self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Known(self._unit)
 
     def _unit(self, unit: str) -> bytes:
         """Marks after a letter apart; a Latin word goes straight to the model, its cut and case being sure."""
         if unit[-1] in MARKS:
             stem = unit.rstrip(MARKS)
-            if stem and stem[-1].isalpha():
+            if stem and stem[-1].isalpha() and stem[-1] < LATIN_END and stem[-1] != DOTTED:
                 return self.known[stem] + self.known[unit[len(stem) :]]
         word = unit[1:] if unit[0] == " " else unit
         if word.isalpha():
@@ -92,10 +94,13 @@ class Encoder:
                 if self.lower and not word.islower():
                     return self.known[word.lower()]
                 return self._model(word if word is unit else self.letters[32] + word)
-            if max(word) < LATIN_END and not (self.lower and "\u0130" in word):
+            if max(word) < LATIN_END and not (self.lower and DOTTED in word):
                 seen = unit.lower() if self.lower else unit
                 return self._model(seen.encode().decode("latin-1").translate(self.letters))
-        return array("I", self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids).tobytes()
+        return self._library(unit)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _model(self, letters: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
@@ -106,7 +111,10 @@ class Encoder:
         gc.disable()  # there are no cycles to find, only millions of strings to look through
         try:
             for text in texts:
-                yield b"".join(map(known, units(text or "")))
+                if text and any(s in text for s in self.specials):
+                    yield self._library(text)
+                else:
+                    yield b"".join(map(known, units(text or "")))
                 self.known.age()
         finally:
             gc.enable()

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from kvartal.llm import packing, simple8b, token_files, tokens, word_bpe
 from tests.llm.conftest import mixed_texts
 
-ODD = [" <|endoftext|> a", "a  \n  b", "x   y", "  z", "it's we'll  I'D", "é İ ΣΣ", "\t\ttab", "1 22 333", "lines.\nof words\nthat end\n", "\nfirst a", " lead a\nb ", "a\xa0b c\x85d e", "it's\n'tis we'll\nx"]
+ODD = [" <|endoftext|> a", "x  <|endoftext|>  b c<|startoftext|>d", "<|endoftext|>", "a<|endoftext|", "a ", "a  ", " ", "  ", "a \nb", "\n a", " 's it 's\n's", "A\u0301 a\u0301. \u0338<", "a  \n  b", "x   y", "  z", "it's we'll  I'D", "é İ ΣΣ", "\t\ttab", "1 22 333", "lines.\nof words\nthat end\n", "\nfirst a", " lead a\nb ", "a\xa0b c\x85d e", "it's\n'tis we'll\nx"]
 
 
 def plain(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -27,6 +26,29 @@ def test_units_give_the_tokenizers_ids():
             assert np.frombuffer(got, "<u4").tolist() == ids(text), (name, text)
 
 
+def test_marks_after_every_code_point():
+    """Letters that lower-casing or composition takes apart keep what follows them."""
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        ids, encode = plain(name), tokens.encoder(tokens.default_path(name), spaced).texts
+        points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        for marks in (".", tokens.MARKS):
+            ends = points if marks == "." else [c for c in points if c < "\u0600" or c.isalpha() and c < "\u3000"]
+            for k in range(0, len(ends), 2000):
+                text = " ".join(f"{c}{marks} n{c}{marks}" for c in ends[k : k + 2000])
+                assert np.frombuffer(next(encode([text])), "<u4").tolist() == ids(text), (name, marks, ends[k])
+
+
+def test_random_mixes():
+    rng = random.Random(6)
+    some = [*"ab.,)|'é\u0130\u0307\u0958\u09dc\ufb1d\u01c5Σς中あ한\u1100\u1161\xa0\u0301\u0338<5\xbd\n\t", *"      ", "ing", "'s", "<|endoftext|>"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    texts += ["".join(rng.choice(some[:-1]) for _ in range(60)).replace("  ", " ") for _ in range(4000)]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        ids = plain(name)
+        for text, got in zip(texts, tokens.encoder(tokens.default_path(name), spaced).texts(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids(text), (name, text)
+
+
 @pytest.mark.parametrize("most", [1, 2, 300, 50_000, 1 << 30, 1 << 60, 1 << 64])
 def test_simple8b_round_trip(most):
     rng = random.Random(most)
