@@ -45,6 +45,8 @@ GROUPS, TOP = len(ORDER), 6
 BLOCK = 32_768
 #: Pairs of words and askers from which on a node is searched further down.
 LEAF = 1024
+#: Words up to this length are compared many at once, TOGETHER pairs of them.
+WIDE, TOGETHER = 64, 1 << 16
 _RANK = np.array([ORDER.index(chr(97 + (c - 97) % GROUPS)) for c in range(GROUPS)], dtype=np.int64)
 
 
@@ -117,6 +119,44 @@ def one_edit(a: str, b: str) -> bool:
     return len(b) == len(a) + 1 and a[k:] == b[k + 1 :]
 
 
+class Letters:
+    """Words of a table as rows of code points, for many comparisons at once."""
+
+    def __init__(self, texts: list[str], lengths: np.ndarray) -> None:
+        self.texts, self.lengths = texts, lengths
+        short = lengths <= WIDE
+        points = np.frombuffer("".join(t for t, s in zip(texts, short.tolist(), strict=True) if s).encode("utf-32-le"), np.uint32)
+        size = np.where(short, lengths, 0)
+        kind = np.uint8 if points.max(initial=0) < 256 else np.uint32
+        # one more column, so that the shorter word's end counts as a difference
+        self.points = np.zeros((len(texts), int(size.max(initial=0)) + 1), dtype=kind)
+        start = np.cumsum(size) - size
+        self.points[np.repeat(np.arange(len(texts)), size), np.arange(len(points)) - np.repeat(start, size)] = points
+
+    def near(self, a: np.ndarray, b: np.ndarray, once: np.ndarray) -> np.ndarray:
+        """Which pairs have one letter replaced, or one more in b; of those in ``once`` only a < b."""
+        out = np.zeros(len(a), dtype=bool)
+        for k in range(0, len(a), TOGETHER):
+            part = slice(k, k + TOGETHER)
+            out[part] = self._near(a[part], b[part], once[part])
+        for k in np.flatnonzero((self.lengths[a] > WIDE) | (self.lengths[b] > WIDE)).tolist():
+            x, y = self.texts[a[k]], self.texts[b[k]]
+            out[k] = one_edit(x, y) and (x < y or not once[k])
+        return out
+
+    def _near(self, a: np.ndarray, b: np.ndarray, once: np.ndarray) -> np.ndarray:
+        x, y = self.points[a], self.points[b]
+        differ = x != y
+        at, rows = differ.argmax(axis=1), np.arange(len(a))
+        replaced = differ.sum(axis=1) == 1
+        # without b's letter at the first difference, the rest must agree
+        shifted = x[:, :-1] != y[:, 1:]
+        last = np.where(shifted.any(axis=1), shifted.shape[1] - 1 - shifted[:, ::-1].argmax(axis=1), -1)
+        longer = self.lengths[b] - self.lengths[a]
+        found = np.where(longer == 0, replaced, (longer == 1) & (last < at))
+        return found & (~once | (x[rows, at] < y[rows, at]))
+
+
 class Trie:
     """Words of a bucket by their counts below the upper part."""
 
@@ -164,19 +204,17 @@ def _meet(batches: Iterator) -> Iterator:
         texts, n = table.column("word").to_pylist(), table.column("n").to_numpy()
         surplus, deficit = table.column("surplus").to_numpy(), table.column("deficit").to_numpy()
         counts, lengths = vectors(table.column("word"))
-        out: list[tuple[int, int]] = []
+        letters, out = Letters(texts, lengths), []
         for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             member = surplus[low:high] < 0
             own, ask = low + np.flatnonzero(member), low + np.flatnonzero(~member)
-            if not len(own) or not len(ask):
-                continue
-            asker, found = Trie(counts[own]).search(counts[ask], surplus[ask], deficit[ask])
-            for a, b in zip(ask[asker].tolist(), own[found].tolist(), strict=True):
+            if len(own) and len(ask):
+                asker, found = Trie(counts[own]).search(counts[ask], surplus[ask], deficit[ask])
+                a, b = ask[asker], own[found]
                 # words with one upper part ask each other
-                both = surplus[a] == deficit[a] == 1 and lengths[a] == lengths[b]
-                if (texts[a] < texts[b] or not both) and one_edit(texts[a], texts[b]):
-                    out.append((a, b))
-        a, b = (np.array([p[k] for p in out], dtype=np.int64) for k in (0, 1))
+                near = letters.near(a, b, (surplus[a] == 1) & (deficit[a] == 1) & (lengths[a] == lengths[b]))
+                out.append((a[near], b[near]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1))
         pick = lambda rows: pa.array([texts[r] for r in rows.tolist()], pa.string())
         yield pa.RecordBatch.from_arrays([pick(a), pa.array(n[a]), pick(b), pa.array(n[b])], names=["a", "n_a", "b", "n_b"])
 
