@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.llm.components import components
-from kvartal.llm.shared import bounded_batches, free_name, row_id, written
+from kvartal.llm.shared import bounded_batches, numbered, row_id, written
 
 WORDS = 3
 #: Seed of the shingles' XXH64.
@@ -275,6 +275,4 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """One document of each component, with its columns."""
-    at = free_name(docs, "row")
-    kept = classify(docs).where("kept").select(F.col("row").alias(at))
-    return docs.withColumn(at, row_id()).join(kept, at, "left_semi").drop(at)
+    return numbered(docs).join(classify(docs).where("kept").select("row"), "row", "left_semi").select("doc.*")

@@ -17,8 +17,8 @@ lines AS (SELECT doc_id, host, line,
     len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
   FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-per_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, list_sort(list(DISTINCT h)) AS least FROM lines GROUP BY 1),
-hot AS (SELECT host, h FROM lines JOIN per_doc USING (doc_id) GROUP BY 1, 2 HAVING count(DISTINCT coalesce(CASE WHEN h = least[1] THEN least[2] ELSE least[1] END, '')) > {quality_rules.MAX_DOCS}),
+per_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, array_to_string(list_sort(list(DISTINCT h)), '') AS content FROM lines GROUP BY 1),
+hot AS (SELECT host, h FROM lines JOIN per_doc USING (doc_id) GROUP BY 1, 2 HAVING count(DISTINCT content) > {quality_rules.MAX_DOCS}),
 removed AS (SELECT doc_id, count(*) AS n_lines, sum(n) AS n_words FROM lines l JOIN hot ON l.host IS NOT DISTINCT FROM hot.host AND l.h = hot.h GROUP BY 1),
 base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

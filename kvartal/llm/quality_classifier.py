@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvartal.llm.arrays import Words, mix, texts, windows
-from kvartal.llm.shared import bounded_batches
+from kvartal.llm.shared import bounded_batches, free_name
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     row) are what comes to the driver.
     """
     bounded_batches(docs.sparkSession)
-    usable = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")
+    usable = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = usable.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     measured = rows.select("quality", "text").mapInArrow(_measured, "label int, x array<double>")
@@ -213,10 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     return fit(x[order], y[order])
 
 
-def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``docs`` with the column score, from 0 to 1; other columns pass through."""
+def score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
+    """``docs`` with a column of scores from 0 to 1; others pass through, but for one of this very name."""
     bounded_batches(docs.sparkSession)
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "score"), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name.lower() != name.lower()), T.StructField(name, T.DoubleType())])
     names = [f.name for f in schema.fields[:-1]]
     at = names.index("text")
 
@@ -226,11 +226,12 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
         for batch in batches:
             scores = [forest.score(x) for x in statistics(batch.column(at))]
             flat = np.concatenate([np.zeros(0), *scores])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat)], names=[*batch.schema.names, name])
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
 def apply(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    name = free_name(docs, "score")
+    return score(docs, train(docs, labels), name).where(F.col(name) >= threshold).drop(name)

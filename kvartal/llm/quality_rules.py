@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.llm.shared import BLANK_CLASS, BLANKS, row_id, words_of, written
+from kvartal.llm.shared import BLANK_CLASS, BLANKS, numbered, row_id, with_text, words_of, written
 
 #: Distinct documents of one host that may hold a line.
 MAX_DOCS = 30
@@ -153,23 +153,10 @@ def apply(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_l
 
     ``n_chars``, where present, follows the new text. ``docs`` must be a stored table.
     """
-    names = docs.columns
     verdict = judge(docs, host, max_docs, min_left).where("kept").select("row", "removed")
-    text = F.when(
-        F.col("__removed").isNull(), F.col("text")
-    ).otherwise(
-        F.array_join(
-            F.filter(
-                F.split("text", "\n"),
-                lambda x: ~_has_word(x) | ~F.array_contains(F.col("__removed"), _line_hash(x)),
-            ),
-            "\n",
-        )
-    )
-    kept = docs.withColumn("__row", row_id()).join(
-        verdict.toDF("__verdict_row", "__removed"), F.col("__row") == F.col("__verdict_row")
+    left = F.filter(
+        F.split("doc.text", "\n"), lambda x: ~_has_word(x) | ~F.array_contains(F.col("removed"), _line_hash(x))
     )
-    kept = kept.withColumn("text", text)
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*names)
+    kept = numbered(docs).join(verdict, "row")
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
+    return kept.select(with_text(docs, text, F.lit(True)).alias("doc")).select("doc.*")

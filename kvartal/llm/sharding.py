@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvartal.llm.shared import row_id, written
+from kvartal.llm.shared import free_name, numbered, row_id, written
 
 SHARDS = 8
 #: Allowed distance of a shard boundary from its target, as a part of a shard's bytes.
@@ -160,11 +160,9 @@ def write(docs: DataFrame, path: str, **options) -> DataFrame:
 
     The texts move once. Shards are cut into files by slot, so no task writes a whole one.
     """
-    placed = assign(docs, **options).select(
-        F.col("row").alias("__row"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")
-    )
-    rows = docs.withColumn("__key", row_id()).join(placed, F.col("__key") == F.col("__row")).drop("__key", "__row")
-    rows.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy(
-        "__shard"
-    ).parquet(path)
+    rows = numbered(docs).join(assign(docs, **options).select("row", "shard", "slot"), "row")
+    rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    rows = rows.select("doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows.write.partitionBy(shard).parquet(path)
     return docs.sparkSession.read.parquet(path)

@@ -50,6 +50,19 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): each row under its number, its columns inside one, so that no name clashes."""
+    return docs.select(row_id().alias("row"), F.struct("*").alias("doc"))
+
+
+def with_text(docs: DataFrame, text: Column, changed: Column) -> Column:
+    """``doc`` of a numbered row with another text where ``changed``; n_chars, where present, follows it."""
+    new = F.col("doc").withField("text", text)
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return F.when(changed, new).otherwise(F.col("doc"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or one made from it, that is no column of ``df`` (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}

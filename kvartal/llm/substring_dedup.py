@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kvartal.llm import repeats
 from kvartal.llm.arrays import Words, mix, windows
-from kvartal.llm.shared import row_id
+from kvartal.llm.shared import numbered, with_text
 
 LENGTH, K = 35, 6
 RESULT = "row long, doc_id long, n_words long, n_removed long, kept binary"
@@ -99,12 +99,6 @@ def apply(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where present, follows the new text.
     """
-    changed = dedup(docs).where("n_removed > 0").select(
-        F.col("row").alias("__changed"), F.decode("kept", "UTF-8").alias("__kept")
-    )
-    rows = docs.withColumn("__row", row_id()).join(changed, F.col("__row") == F.col("__changed"), "left")
-    rows = rows.withColumn("text", F.coalesce("__kept", "text"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("__changed").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    changed = dedup(docs).where("n_removed > 0").select("row", F.decode("kept", "UTF-8").alias("kept"))
+    rows = numbered(docs).join(changed, "row", "left")
+    return rows.select(with_text(docs, F.col("kept"), F.col("kept").isNotNull()).alias("doc")).select("doc.*")

@@ -32,6 +32,9 @@ def test_held_out_accuracy(stored, spark):
     out = [r for r in rows if r.held_out and r.doc_id < 400]
     assert sum((r.score >= 0.3) == bool(quality[r.doc_id]) for r in out) >= 0.97 * len(out) > 40
     kept = Q.apply(docs, labels)
+    assert {r.score for r in kept.collect()} == {"clash"}
+    wide = labels.withColumn("quality", F.col("quality").cast("bigint"))
+    assert Q.apply(docs, wide).count() == kept.count()
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.score >= 0.3}
 
 

@@ -2,8 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
+from checks.compare import compare
+from kvartal.llm import queries
+
 from kvartal.llm import quality_rules as Q
 from tests.llm.conftest import mixed_texts, prose
 
@@ -88,6 +92,35 @@ def test_pages_of_many_shared_and_few_own_lines(stored):
     assert {r.n_removed_lines for r in Q.judge(docs, max_docs=32).collect()} == {0}
 
 
+def test_sql_counts_as_the_code_does(stored, spark, tmp_path):
+    """Pages of many shared and few own lines, copies and pages of shared lines only, in several hosts."""
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(8))
+    texts, hosts = [], []
+    for host, pages, shared, own in (("a", 40, 20, 1), ("b", 30, 12, 3), ("c", 31, 8, 5), (None, 35, 6, 0)):
+        common = [line() for _ in range(shared)]
+        for _ in range(pages):
+            texts.append("\n".join([*common, *(line() for _ in range(own))]))
+            hosts.append(host)
+    texts, hosts = [*texts, *texts[:9]], [*hosts, *hosts[:9]]
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, t, h) for i, (t, h) in enumerate(zip(texts, hosts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    key = "op1_quality_rules"
+    state, n, _, detail = compare(spark, con, str(tmp_path), key, queries.QUERIES[key], queries.ORACLE_SQL[key])
+    assert (state, n) == ("ok", len(texts)), detail
+    got = {r.doc_id: r.n_removed_lines for r in Q.judge(spark.read.parquet(path)).collect()}
+    assert (got[0], got[40], got[70], got[101]) == (20, 0, 8, 0)
+
+
+def test_clashing_columns_keep_their_values(stored):
+    docs = stored(boiler(), row=F.lit("r"), doc=F.lit("d"), removed=F.lit("x"), __row=F.lit(1), kept=F.lit("k"))
+    rows = Q.apply(docs, max_docs=10).collect()
+    assert rows and {(r.row, r.doc, r.removed, r["__row"], r.kept) for r in rows} == {("r", "d", "x", 1, "k")}
+
+
 def test_empty_table(stored):
     docs = stored(["a"]).where("false")
     assert Q.judge(docs).count() == 0 and Q.apply(docs).columns == docs.columns
