@@ -12,6 +12,7 @@ from checks.views import Views
 MODULES = (
     "match_checks",
     "state_checks",
+    "decision_checks",
     "recommend_checks",
     "enrich_checks",
     "score_checks",
