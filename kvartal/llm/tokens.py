@@ -21,6 +21,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Units of vocabularies that drop white space.
 BARE = re.compile("[^ \\t\\n\\r]+")
+WHITE = re.compile(f"[{SPACE}]")
 #: Units kept per worker; longer ones are encoded each time.
 KEPT_UNITS, LONGEST_UNIT = 400_000, 48
 #: A run of these at a unit's end, after a Latin letter, is encoded apart from it.
@@ -54,7 +55,7 @@ def _byte_letters() -> list[str]:
 class _Known(dict):
     """Ids of units, made when first asked for; the last KEPT_UNITS to twice as many are kept."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes | None]) -> None:
         super().__init__()
         self.make, self.before = make, {}
 
@@ -72,32 +73,33 @@ class _Known(dict):
             self.clear()
 
 
+class _Words(_Known):
+    """Ids of what stands between two spaces; parts that hold other white space aren't kept."""
+
+    def __init__(self, make: Callable[[str], bytes], cut: Callable[[str], bytes]) -> None:
+        super().__init__(make)
+        self.cut = cut
+
+    def __missing__(self, part: str) -> bytes:
+        if part not in self.before and WHITE.search(part):
+            return self.cut(part)
+        return super().__missing__(part)
+
+
 class Encoder:
-    """Ids of texts as bytes (little-endian, 32 bits each)."""
+    """Ids of texts as bytes (little-endian, 32 bits each).
+
+    Parts between single spaces are looked up as they are; a part stands for itself and, where
+    the vocabulary keeps white space, for the space before it.
+    """
 
     def __init__(self, path: str, spaced: bool) -> None:
-        self.units = (SPACED if spaced else BARE).findall
-        self.tokenizer, self.lower = _tokenizer(path), not spaced
+        self.tokenizer, self.spaced = _tokenizer(path), spaced
         self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Known(self._unit)
-
-    def _unit(self, unit: str) -> bytes:
-        """Marks after a letter apart; a Latin word goes straight to the model, its cut and case being sure."""
-        if unit[-1] in MARKS:
-            stem = unit.rstrip(MARKS)
-            if stem and stem[-1].isalpha() and stem[-1] < LATIN_END and stem[-1] != DOTTED:
-                return self.known[stem] + self.known[unit[len(stem) :]]
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha():
-            if word.isascii():
-                if self.lower and not word.islower():
-                    return self.known[word.lower()]
-                return self._model(word if word is unit else self.letters[32] + word)
-            if max(word) < LATIN_END and not (self.lower and DOTTED in word):
-                seen = unit.lower() if self.lower else unit
-                return self._model(seen.encode().decode("latin-1").translate(self.letters))
-        return self._library(unit)
+        self.find = (SPACED if spaced else BARE).findall
+        self.units = _Known(self._bare)
+        self.words = _Words(self._word, self._cut) if spaced else _Words(self._bare, self._units)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -105,17 +107,67 @@ class Encoder:
     def _model(self, letters: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
+    def _letters(self, word: str) -> str | None:
+        """A Latin word as the model reads it, its cut and case being sure; else None."""
+        if word.isalpha():
+            if word.isascii():
+                return word if self.spaced else word.lower()
+            if max(word) < LATIN_END and (self.spaced or DOTTED not in word):
+                return (word if self.spaced else word.lower()).encode().decode("latin-1").translate(self.letters)
+        return None
+
+    def _marked(self, unit: str) -> int:
+        """Length of a unit without the marks behind its last letter; 0 without such marks."""
+        if unit and unit[-1] in MARKS:
+            stem = unit.rstrip(MARKS)
+            if stem and stem[-1].isalpha() and stem[-1] < LATIN_END and stem[-1] != DOTTED:
+                return len(stem)
+        return 0
+
+    def _bare(self, unit: str) -> bytes:
+        """A unit without a space before it."""
+        if not unit:
+            return b""
+        if (letters := self._letters(unit)) is not None:
+            return self._model(letters)
+        if end := self._marked(unit):
+            return self.units[unit[:end]] + self.units[unit[end:]]
+        return self._library(unit)
+
+    def _word(self, part: str) -> bytes:
+        """A part with the space before it."""
+        if (letters := self._letters(part)) is not None:
+            return self._model(self.letters[32] + letters)
+        if end := self._marked(part):
+            return self.words[part[:end]] + self.units[part[end:]]
+        return self._library(" " + part)
+
+    def _units(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, self.find(text)))
+
+    def _cut(self, part: str) -> bytes:
+        """A part with white space in it, and the space before it."""
+        units = self.find(" " + part)
+        return b"".join([self.words[u[1:]] if len(u) > 1 and u[0] == " " and not WHITE.match(u, 1) else self.units[u] for u in units])
+
     def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
-        units, known = self.units, self.known.__getitem__
         gc.disable()  # there are no cycles to find, only millions of strings to look through
         try:
             for text in texts:
-                if text and any(s in text for s in self.specials):
+                if not text:
+                    yield b""
+                elif any(s in text for s in self.specials):
                     yield self._library(text)
+                elif not self.spaced:
+                    yield b"".join(map(self.words.__getitem__, text.split(" ")))
+                elif "  " in text:  # runs of spaces are cut in another way
+                    yield self._units(text)
                 else:
-                    yield b"".join(map(known, units(text or "")))
-                self.known.age()
+                    first, *parts = text.split(" ")
+                    yield self._units(first) + b"".join(map(self.words.__getitem__, parts))
+                self.units.age()
+                self.words.age()
         finally:
             gc.enable()
 
