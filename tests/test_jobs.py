@@ -53,28 +53,93 @@ def _folders(path):
     return al.Folders(*(f"{path}/{n}" for n in ("outbox", "seen", "touched", "listings")))
 
 
+def _arrive(path, rows):
+    """One more file of the listing stream."""
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return rows.schema
+
+
+def _run(spark, path, targets, schema, check="check", **more):
+    """Everything that has arrived, a file per batch."""
+    folders = _folders(f"{path}/{check}-out")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # each partition of the state starts a worker per batch
+    try:
+        al.run(stream, targets, folders, f"{path}/{check}", F.lit("2026-01-02").cast("timestamp"), **more)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    return folders
+
+
+def _sent(spark, folders, batch=None):
+    rows = spark.read.schema(f"{al.SEEN}, batch_id long").parquet(folders.seen)
+    return sorted(r.external_id for r in rows.collect() if batch is None or r.batch_id == batch)
+
+
 @pytest.mark.parametrize("batches", [1, 2, 10])
 def test_no_listing_is_lost_however_batches_are_cut(spark, tmp_path, batches):
-    folders, at = _folders(tmp_path), F.lit("2026-01-02").cast("timestamp")
     everything = _listings(spark, [str(i) for i in range(10)])
     for k in range(batches):
-        al.alert_batch(everything.where(F.col("external_id").cast("int") % batches == k), k, _targets(spark), folders, at)
-    seen = spark.read.parquet(folders.seen)
-    assert sorted(r.external_id for r in seen.collect()) == sorted(str(i) for i in range(10))
+        schema = _arrive(tmp_path, everything.where(F.col("external_id").cast("int") % batches == k))
+    folders = _run(spark, tmp_path, _targets(spark), schema)
+    assert _sent(spark, folders) == sorted(str(i) for i in range(10))
     sent = spark.read.parquet(folders.outbox)
     assert sum(r.listings for r in sent.collect()) == 10 and all(r.listings <= 6 for r in sent.collect())
     assert al.listing_upserts(spark.read.parquet(folders.listings)).count() == 10
     # a plain search leaves them alone while the claims last
-    again = al.new_matches(everything, _targets(spark), seen.where("false"), al.claims_of(seen), at)
-    assert again.count() == 0
-
-
-def test_a_flat_is_alerted_once_whichever_batch_brings_its_clone(spark, tmp_path):
+    seen = spark.read.schema(f"{al.SEEN}, batch_id long").parquet(folders.seen)
+    wanted = everything.select(F.lit("search").alias("namespace"), F.lit(1).cast("long").alias("user_id"), "external_id")
+    assert cl.eligible(wanted, al.claims_of(seen), F.lit("2026-01-02").cast("timestamp")).count() == 0
+    # and so do alerts of another job with the listings that a search delivered
+    again = _run(spark, tmp_path, _targets(spark), schema, "other", delivered=al.claims_of(seen))
+    assert spark.read.schema(al.NEWS + ", batch_id long").parquet(again.listings).count() == 0
+
+
+def test_a_users_rows_are_judged_together(spark, tmp_path):
+    """Clones, ranks and messages of a batch do not depend on how its rows are cut into chunks."""
+    rows = _listings(spark, [str(i) for i in range(40)])
+    clones = rows.withColumn("external_id", F.concat(F.lit("c"), "external_id")).withColumn("price_kzt", F.lit(9).cast("long"))
+    schema = _arrive(tmp_path, rows.unionByName(clones))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        folders = _run(spark, tmp_path, _targets(spark, users=(1, 2)), schema)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    got = spark.read.parquet(folders.listings).orderBy("user_id", "rank").collect()
+    want = [f"c{i}" for i in sorted(map(str, range(40)))]
+    assert [r.external_id for r in got] == want * 2
+    assert [(r.rank, r.message) for r in got] == [(k + 1, k // 6) for k in range(40)] * 2
+
+
+def test_seen_flats_live_in_the_state(spark, tmp_path):
+    """Clones, repeats and restarts: nothing is alerted twice, and no batch needs the seen folder."""
+    schema = _arrive(tmp_path, _listings(spark, ["1", "2"]))
+    folders = _run(spark, tmp_path, _targets(spark), schema)
+    assert _sent(spark, folders, 0) == ["1", "2"]
+    os.rename(folders.seen, f"{tmp_path}/elsewhere")
+    _arrive(tmp_path, _listings(spark, ["2", "3"]))
+    _arrive(tmp_path, _listings(spark, ["1"]).withColumn("external_id", F.lit("9")))  # the flat of 1
+    _arrive(tmp_path, _listings(spark, ["4"], price=500))
+    _arrive(tmp_path, _listings(spark, ["4"]))
+    _run(spark, tmp_path, _targets(spark), schema)
+    assert [_sent(spark, folders, k) for k in range(1, 5)] == [["3"], [], [], ["4"]]
+    # a new checkpoint starts from the seen table
+    seen = spark.read.schema(al.SEEN).parquet(folders.seen).unionByName(spark.read.schema(al.SEEN).parquet(f"{tmp_path}/elsewhere"))
+    seen.write.parquet(f"{tmp_path}/all-seen")
+    _arrive(tmp_path, _listings(spark, ["5"]))
+    again = _run(spark, tmp_path, _targets(spark), schema, "anew", seen=spark.read.parquet(f"{tmp_path}/all-seen"))
+    fresh = spark.read.schema(al.NEWS + ", batch_id long").parquet(again.listings)
+    assert sorted(r.external_id for r in fresh.collect()) == ["5"]
+
+
+def test_a_replayed_batch_writes_the_same_files(spark, tmp_path):
+    news = spark.createDataFrame([(1, "1", "f", 1, 0, "A", 10, 2, 50.0)], al.NEWS)
     folders, at = _folders(tmp_path), F.lit("2026-01-02").cast("timestamp")
-    one = _listings(spark, ["1"])
-    al.alert_batch(one, 0, _targets(spark), folders, at)
-    al.alert_batch(one.withColumn("external_id", F.lit("9")), 1, _targets(spark), folders, at)
-    assert [r.external_id for r in spark.read.parquet(folders.seen).collect()] == ["1"]
+    for _ in range(2):
+        al.write_batch(news, 0, _targets(spark), folders, at)
+    assert _sent(spark, folders) == ["1"] and spark.read.parquet(folders.outbox).count() == 1
 
 
 def test_clones_collapse_inside_a_users_result(spark):
@@ -86,25 +151,6 @@ def test_clones_collapse_inside_a_users_result(spark):
     assert pick(_targets(spark, low=11)) == ["owner"]
 
 
-def test_alerts_are_sent_once_and_replay_is_idempotent(spark, tmp_path):
-    folders = al.Folders(*(f"{tmp_path}/{n}" for n in ("outbox", "seen", "touched", "listings")))
-    targets = _targets(spark)
-    at = F.lit("2026-01-02").cast("timestamp")
-
-    def sent(batch):
-        rows = spark.read.parquet(f"{folders.seen}/batch_id={batch}").collect()
-        return sorted(r.external_id for r in rows)
-
-    al.alert_batch(_listings(spark, ["1", "2"]), 0, targets, folders, at)
-    assert sent(0) == ["1", "2"]
-    al.alert_batch(_listings(spark, ["1", "2"]), 0, targets, folders, at)
-    assert sent(0) == ["1", "2"]
-    al.alert_batch(_listings(spark, ["2", "3"]), 1, targets, folders, at)
-    assert sent(1) == ["3"]
-    al.alert_batch(_listings(spark, ["1", "3"], price=500), 2, targets, folders, at)
-    assert sent(2) == []
-
-
 def test_snapshot_may_replace_what_it_is_made_from(spark, tmp_path):
     root = f"{tmp_path}/users"
     users = spark.createDataFrame([(1, "a"), (2, "b")], "telegram_user_id long, username string")
