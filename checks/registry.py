@@ -22,6 +22,7 @@ MODULES = (
     "extract_checks",
     "quality_checks",
     "stream_checks",
+    "verified_checks",
 )
 
 
