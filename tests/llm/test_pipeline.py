@@ -61,7 +61,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 def test_registered():
     found = __spark_entry__.queries()
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
     assert set(queries.ORACLE_SQL) <= set(found)
 
