@@ -1,6 +1,7 @@
 """Ordered rules against a plain replay of random logs."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -52,7 +53,7 @@ def test_limiter_truth_table(spark):
     assert [r.verdict for r in out] == ["accepted"] * 3 + ["warned", "silent", "silent", "accepted", "accepted"]
 
 
-def test_limiter_and_claims_equal_replay(spark):
+def test_limiter_and_claims_equal_replay(spark, tmp_path):
     rnd = random.Random(5)
     at = START
     rows = []
@@ -71,7 +72,7 @@ def test_limiter_and_claims_equal_replay(spark):
         F.lit("search").alias("namespace"), "user_id", (F.col("seq") % 2).cast("string").alias("external_id"), "ts", "seq",
         (F.col("seq") % 3 != 0).alias("fits"),
     )
-    got = {r.seq: r.verdict for r in cl.claims(req, 120).collect()}
+    got = {r.seq: r.verdict for r in cl.claims(req, str(tmp_path), 120).collect()}
     state, want = {}, {}
     for user, ts, seq in rows:
         key = (user, seq % 2)
@@ -81,6 +82,33 @@ def test_limiter_and_claims_equal_replay(spark):
     assert got == want
 
 
+def test_claims_of_a_key_that_never_pauses(spark, tmp_path):
+    """A third of all requests on one key without a pause, with ties, repeats, nulls and an empty log."""
+    rnd = random.Random(8)
+    rows = []
+    for seq in range(3000):
+        hot = rnd.random() < 0.35
+        at = START + dt.timedelta(seconds=rnd.randrange(0, 4 * 86_400, 60))
+        rows.append(("search", 1 if hot else 2 + rnd.randrange(40), "a", at, seq, rnd.choice([True, False, None])))
+    rows += rows[:50] + [("search", 1, "a", None, -1, True), ("search", None, "a", START, -2, True)]
+    schema = "namespace string, user_id long, external_id string, ts timestamp, seq long, fits boolean"
+    log = spark.createDataFrame(rows, schema)
+    out = cl.claims(log, f"{tmp_path}/a", 3600)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.user_id, r.seq, r.verdict) for r in out.collect())
+    state, want = {}, []
+    known = [(u, t, s, bool(f)) for _, u, _, t, s, f in rows if u is not None and t is not None]
+    for user, ts, seq, fits in sorted(known, key=lambda r: (r[1], r[2], not r[3])):
+        micros = int((ts - START).total_seconds() * 1e6) + 10**12
+        state[user], step = cl.claim_step(state.get(user), {"micros": micros, "seq": seq, "fits": fits}, 3_600_000_000)
+        want.append((user, seq, step["verdict"]))
+    assert got == sorted(want)
+    assert sum(v == "delivered" for u, _, v in got if u == 1) > 60
+    # more rounds than a handful would mean one round a delivery
+    assert len([n for n in os.listdir(f"{tmp_path}/a") if n.startswith("won-")]) <= 8
+    assert cl.claims(log.limit(0), f"{tmp_path}/b", 3600).count() == 0
+
+
 def test_carry_last_equals_one_window(spark):
     df = spark.range(2000).select(
         (F.col("id") % 3).alias("k"), F.col("id").alias("o"), F.when(F.hash("id") % 5 == 0, F.col("id")).alias("v")
