@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import scratch
 from checks.state_checks import text_ts
 from checks.views import Views, now, sql
 from kvartal.functions import html as h
@@ -11,6 +12,7 @@ from kvartal.functions import listing_text as lt
 from kvartal.functions import text as tx
 from kvartal.operators import extract as ex
 from kvartal.sources import pages as pg
+from kvartal.streaming import details as sd
 
 BASE = "https://example.test"
 NBSP = " "
@@ -244,6 +246,45 @@ def s2(v):
     return urls.select("user_id", "page", "url", "error")
 
 
+def p19_stream(v):
+    """Both kinds of pages as streams: of seven details one never comes and one comes too late.
+
+    One empty card and page later than all others carry the watermarks past them.
+    """
+    start, beat = now(), now() + F.expr("INTERVAL 30 DAYS")
+    minutes = F.make_dt_interval(mins=(F.col("page_no") % 600).cast("int"))
+    pages = listing_pages(v).select("*", F.lit(" Город ").alias("city"), (start + minutes).alias("fetched_at"))
+    last = v.spark.range(1).select(
+        F.lit("u").alias("url"), F.lit(0).cast("long").alias("page_no"),
+        F.lit('<article class="a-card"><a href="/a/show/0">x</a></article>').alias("html"),
+        F.lit(200).alias("status"), F.lit("x").alias("city"), beat.alias("fetched_at"),
+    )
+    key = F.col("external_id").cast("bigint")
+    after = F.when(key % 7 == 1, 61).otherwise(key % 61)
+    shown = F.make_dt_interval(mins=(F.floor(key / 10) % 600).cast("int"))
+    details = detail_pages(v).where(key % 7 != 0).select(
+        "external_id", "html", F.lit(200).alias("status"), (start + shown + F.make_dt_interval(mins=after.cast("int"))).alias("fetched_at")
+    )
+    end = v.spark.range(1).select(
+        F.lit("-1").alias("external_id"), F.lit('<h1 class="offer__title">x</h1>').alias("html"), F.lit(200).alias("status"),
+        beat.alias("fetched_at"),
+    )
+    root = scratch.folder(v.spark, "details")
+    streams = []
+    for name, rows in (("pages", pages.unionByName(last)), ("details", details.unionByName(end))):
+        rows.write.parquet(f"{root}/{name}")
+        streams.append(v.spark.readStream.schema(rows.schema).parquet(f"{root}/{name}"))
+    out = sd.listings(*streams, BASE, "site")
+    query = (
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return v.spark.read.schema(out.schema).parquet(f"{root}/out").select(
+        "external_id", "detailed", "title", "price_kzt", "city", "district", "rooms", "area_m2", "floor"
+    )
+
+
 def u4(v):
     rows = _previews(v).select("page_no", "card_pos", "external_id")
     placed = pg.in_page_order(rows, ["page_no"])
@@ -349,6 +390,17 @@ UNION ALL SELECT -page_id - 1, regexp_matches(lower(html), 'captcha|verify you a
   coalesce(area_m2, CAST((s + 30) || '.5' AS DOUBLE)) AS area_m2, coalesce(floor, (s % 9 + 1) || '/12') AS floor FROM det"""
         ),
     ),
+    "P19_detail_stream": (
+        p19_stream,
+        _det(
+            """SELECT external_id, on_time AS detailed, CASE WHEN on_time AND k % 4 <> 0 THEN 'Квартира №' || id ELSE title END AS title,
+  CASE WHEN on_time AND k % 3 = 0 THEN price + 1000000 ELSE price_kzt END AS price_kzt, 'Город' AS city,
+  CASE WHEN on_time AND k % 5 IN (0, 1, 2) THEN 'Речной район' ELSE district END AS district,
+  CASE WHEN on_time THEN coalesce(rooms, s % 5 + 1) ELSE rooms END AS rooms,
+  CASE WHEN on_time THEN coalesce(area_m2, CAST((s + 30) || '.5' AS DOUBLE)) ELSE area_m2 END AS area_m2,
+  CASE WHEN on_time THEN coalesce(floor, (s % 9 + 1) || '/12') ELSE floor END AS floor FROM (SELECT *, id % 7 > 1 AS on_time FROM det)"""
+        ),
+    ),
     "P20_listing_quarantine": (
         p20,
         _det(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +66,9 @@ def _truthy(json: str, field: str) -> Column:
     return value.isNotNull() & ~value.isin("false", "null", "0", "")
 
 
-def detail_fields(pages: DataFrame) -> DataFrame:
-    """Fields of detail pages (external_id, html), one row per page."""
-    rows = pages.select("external_id", "html", h.detail_texts("html").alias("d"))
+def detail_fields(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of detail pages (external_id, html), one row per page; ``keep`` columns of the page stay."""
+    rows = pages.select(*keep, "external_id", "html", h.detail_texts("html").alias("d"))
     rows = rows.withColumn("params", tx.first_by(F.col("d.params"), "label"))
     posted = F.when(F.col("d.owner_json").isNotNull(), F.when(_truthy("d.owner_json", "isOwner"), F.lit("owner"))
                     .when(_truthy("d.owner_json", "isBuilder") | _truthy("d.owner_json", "isComplex"), F.lit("developer"))
@@ -74,6 +76,7 @@ def detail_fields(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("posted_by", posted)
     agency = tx.blank_to_null(tx.strip(F.get_json_object("d.agency_json", "$.name")))
     return rows.select(
+        *keep,
         "external_id",
         F.col("d.title").alias("detail_title"),
         lt.price("d.price_text").alias("detail_price"),
@@ -107,9 +110,13 @@ def merge_detail(previews_: DataFrame, details: DataFrame, source: str, scraped_
     The preview decides rooms, area and floor, the detail page price, title,
     district and address; each falls back on the other.
     """
-    rows = previews_.join(details, "external_id", "inner")
-    address = F.coalesce("detail_address", "address")
     carried = [c for c in previews_.columns if c not in PREVIEW and c != "city"]
+    return as_listings(previews_.join(details, "external_id", "inner"), carried, source, scraped_at)
+
+
+def as_listings(rows: DataFrame, carried: Sequence[str], source: str, scraped_at: Column) -> DataFrame:
+    """Listings of rows that hold a preview and the fields of its detail page (null where it is missing)."""
+    address = F.coalesce("detail_address", "address")
     return rows.select(
         *carried,
         "external_id",
