@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import scratch
 from checks.state_checks import feedback, fold_sql, sql_ts, text_ts
 from checks.views import sql
 from kvartal.functions.interval import interval_minutes, interval_text
 from kvartal.operators import monitor as mo
+from kvartal.operators import retention as rt
 
 AT = "2000-06-01 00:00:00"
 
@@ -121,6 +123,31 @@ def k9(v):
     )
 
 
+def _purged(v):
+    """Seen rows and listings as tables by day, purged in place."""
+    _, seen, listings, fb = _tables(v)
+    root = scratch.folder(v.spark, "retention")
+    tables = (
+        rt.DatedTable("seen", f"{root}/seen", "first_seen_at", seen.schema),
+        rt.DatedTable("listings", f"{root}/listings", "created_at", listings.schema),
+    )
+    for table, rows in zip(tables, (seen, listings), strict=True):
+        table.write(rows)
+    return tables, rt.purge(*tables, fb, F.lit(PURGE_AT).cast("timestamp"), f"{root}/work")
+
+
+def k9_partitions(v):
+    return _purged(v)[1].withColumn("day", F.col("day").cast("string"))
+
+
+def k9_rows(v):
+    (seen, listings), _ = _purged(v)
+    return (
+        seen.read(v.spark).select(F.lit("seen").alias("part"), F.col("listing_id").alias("id"), "user_id")
+        .unionByName(listings.read(v.spark).select(F.lit("listings").alias("part"), F.col("listing_id").alias("id"), F.lit(0).cast("bigint").alias("user_id")))
+    )
+
+
 def a8(v):
     return mo.purge_counts(*_tables(v), F.lit(PURGE_AT).cast("timestamp"))
 
@@ -198,6 +225,26 @@ FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 5 END AS n, o
             PURGE_SQL.strip() + """
 SELECT 'criteria' AS part, o_orderkey AS id, CAST(0 AS BIGINT) AS user_id FROM orders WHERE o_orderstatus <> 'F'
 UNION ALL SELECT 'seen', listing_id, user_id FROM recent r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.listing_id = r.listing_id)
+UNION ALL SELECT 'listings', listing_id, 0 FROM lst l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.listing_id = l.listing_id)"""
+        ),
+    ),
+    "K9_purge_partitions": (
+        k9_partitions,
+        fold_sql(
+            PURGE_SQL.strip() + f"""
+, told AS (SELECT 'seen' AS part, first_seen_at AS made, first_seen_at >= TIMESTAMP '{PURGE_AT}' - INTERVAL 30 DAY
+    AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.listing_id = s.listing_id) AS stays FROM seen s
+  UNION ALL SELECT 'listings', created_at, NOT EXISTS (SELECT 1 FROM gone g WHERE g.listing_id = l.listing_id) FROM lst l)
+SELECT part, strftime(made, '%Y-%m-%d') AS day, CASE WHEN bool_or(stays) THEN 'rewritten' ELSE 'dropped' END AS action,
+  count(*) FILTER (WHERE NOT stays) AS deleted, count(*) FILTER (WHERE stays) AS kept
+FROM told GROUP BY 1, 2 HAVING NOT bool_and(stays)"""
+        ),
+    ),
+    "K9_purged_rows": (
+        k9_rows,
+        fold_sql(
+            PURGE_SQL.strip() + """
+SELECT 'seen' AS part, listing_id AS id, user_id FROM recent r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.listing_id = r.listing_id)
 UNION ALL SELECT 'listings', listing_id, 0 FROM lst l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.listing_id = l.listing_id)"""
         ),
     ),

@@ -43,3 +43,9 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     if not known:
         raise FileNotFoundError(f"no complete snapshot under {root}")
     return spark.read.parquet(f"{root}/version={known[-1]}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table; none is no error."""
+    target = _path(spark, path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
